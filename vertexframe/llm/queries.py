@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, media_audio, mixing, packing, sharding, token_counts, toxicity
+from . import chat_format, media_audio, mixing, packing, sharding, simhash, token_counts, toxicity
 from .common import table, tokenizer_path
 from .oracles import ORACLES
 
@@ -47,6 +47,10 @@ def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_audio.decode_audio(stored, keep_pcm=False)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

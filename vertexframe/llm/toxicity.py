@@ -6,8 +6,8 @@ weights are fitted to the document labels through the noisy-or, and then tell wh
 
 The model is fitted on a bounded sample: at most MAX_FIT labelled rows, those of the smallest hashes of
 their ids (all toxic and clean rows alike, so rates are kept).  Words that occur in fewer than MIN_DOCS
-fitted documents are left out, and of the others the MAX_WORDS whose presence differs most between the
-labels are kept, so the model is small whatever the corpus.  Labels, lang, source and ids are never
+fitted documents, or whose log odds are not MIN_SURE standard errors above 0, are left out, and of the
+others the MAX_WORDS surest are kept, so the model is small whatever the corpus.  Labels, lang, source and ids are never
 inputs of a score.
 
 Defined results: null and empty texts have no sentences and score 0; conflicting labels of one id count
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Rows to fit on, words of the model, documents that a word must occur in, and the decision threshold.
 MAX_FIT, MAX_WORDS, MIN_DOCS, THRESHOLD = 6000, 2000, 4, 0.3
+#: Standard errors by which a word's log odds must exceed 0.
+MIN_SURE = 3.0
 _PARTS = re.compile(r"[^\W_]+|[.!?\n]+")
 
 
@@ -98,9 +100,9 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, ridge: float
         seen[label].update({w for s in bag for w in s})
     n = (len(y) - y.sum(), y.sum())
     odds = {w: np.log((seen[1][w] + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1)) for w in set(seen[0]) | set(seen[1]) if seen[0][w] + seen[1][w] >= MIN_DOCS}
-    # How sure it is that presence differs between the labels: odds over their standard error.
-    sure = {w: abs(o) / np.sqrt(1 / (seen[1][w] + 0.5) + 1 / (seen[0][w] + 0.5)) for w, o in odds.items()}
-    chosen = sorted(sure, key=lambda w: (-sure[w], w))[:MAX_WORDS]
+    # How sure it is that a word marks toxic documents: its log odds over their standard error.
+    sure = {w: o / np.sqrt(1 / (seen[1][w] + 0.5) + 1 / (seen[0][w] + 0.5)) for w, o in odds.items()}
+    chosen = [w for w in sorted(sure, key=lambda w: (-sure[w], w)) if sure[w] >= MIN_SURE][:MAX_WORDS]
     index = {w: i for i, w in enumerate(chosen)}
     rows, columns, owner = [], [], []
     for d, bag in enumerate(bags):
