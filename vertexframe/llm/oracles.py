@@ -31,4 +31,15 @@ FROM sized JOIN plans ON sized.source IS NOT DISTINCT FROM plans.source
 JOIN marked ON sized.source IS NOT DISTINCT FROM marked.source AND sized.h = marked.h
 """
 
-ORACLES: dict[str, str] = {"op4_mixing": MIXING}
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op4_mixing": MIXING, "op5_exact_topk": TOP_K}

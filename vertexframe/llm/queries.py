@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, media_audio, mixing, packing, sharding, simhash, token_counts, toxicity
+from . import chat_format, media_audio, mixing, packing, sharding, simhash, token_counts, topk_search, toxicity
 from .common import table, tokenizer_path
 from .oracles import ORACLES
 
@@ -31,6 +31,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = topk_search.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
+    return out.select("query_id", "rank", "vec_id", "score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_labelled(docs, table(spark, sf_dir, "labels"))
