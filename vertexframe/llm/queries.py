@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, media_audio, mixing, packing, sharding, simhash, token_counts, topk_search, toxicity
+from . import chat_format, media_audio, mixing, packing, sharding, simhash, suffix_dedup, token_counts, topk_search, toxicity
 from .common import table, tokenizer_path
 from .oracles import ORACLES
 
@@ -36,6 +36,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "vec_id", "score")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit_labelled(docs, table(spark, sf_dir, "labels"))
