@@ -160,9 +160,13 @@ def links(distinct: DataFrame, distance: int, *, n: int | None = None) -> DataFr
     right = distinct.select(F.col("fp").alias("v"), F.explode(F.array(*flips)).alias("p")).select(
         "v", F.col("p.part").alias("part"), F.col("v").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("key")
     )
-    near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
+    apart = F.col("u").bitwiseXOR(F.col("v"))
+    near = (F.col("u") < F.col("v")) & (F.bit_count(apart) <= distance)
+    # A pair is made in the first partition in which it is near, and only there.
+    for i, (mask, t) in enumerate(parts):
+        near = near & ((F.col("l.part") <= i) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(mask)))) > t))
     pairs = left.alias("l").join(right.alias("r"), (F.col("l.part") == F.col("r.part")) & (F.col("l.key") == F.col("r.key")) & near)
-    return pairs.select("u", "v").distinct()
+    return pairs.select("u", "v")
 
 
 def near_duplicates(df: DataFrame, *, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,3 +179,62 @@ def near_duplicates(df: DataFrame, *, distance: int = 3, shingle: int = 3, id_co
     classes = members.join(named, "root").select("fp", "component_id")
     out = marked.join(classes, "fp")
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def jaccard(a: str | None, b: str | None, size: int) -> float:
+    """Similarity of the sets of shingles; 1 for two texts without words."""
+    x, y = set(shingles(a, size)), set(shingles(b, size))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def drop_near_copies(df: DataFrame, *, distance: int = 6, shingle: int = 3, verify_words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df but for near copies: of each group the document of the least id stays.
+
+    Groups are the components of equal texts and of texts whose fingerprints differ in at most `distance`
+    bits and whose sets of `verify_words`-word shingles have a Jaccard similarity of `least` or more.
+    Texts of one fingerprint are compared with the first of them, so a crowded fingerprint makes no pairs
+    of its members.  Rows of a null id are their own groups and stay; fully repeated rows are one document.
+    """
+    named = df.where(F.col(id_col).isNotNull())
+    texts = cut(_prints(named, shingle, id_col, text_col).groupBy("fp", "key").agg(F.min("doc").alias("doc")))
+    reps = cut(texts.groupBy("fp").agg(F.min(F.struct("doc", "key")).alias("rep")).select("fp", "rep.doc", "rep.key"))
+    found = links(reps.select("fp"), distance)
+    first = reps.select(F.col("fp").alias("u"), F.col("doc").alias("a"), F.col("key").alias("ka"))
+    second = reps.select(F.col("fp").alias("v"), F.col("doc").alias("b"), F.col("key").alias("kb"))
+    across = found.join(first, "u").join(second, "v").select("a", "ka", "b", "kb")
+    within = texts.select("fp", F.col("doc").alias("b"), F.col("key").alias("kb")).join(first.withColumnRenamed("u", "fp"), "fp").where("kb <> ka").select("a", "ka", "b", "kb")
+    pairs = cut(across.unionByName(within))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("ka").alias("key")), F.struct(F.col("b").alias("doc"), F.col("kb").alias("key")))).alias("e")).select("e.doc", "e.key").distinct()
+    content = named.select(F.col(id_col).cast("long").alias("doc"), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("key"), F.col(text_col).alias("t"))
+    wanted = content.join(ends.hint("shuffle_hash"), ["doc", "key"], "left_semi")
+    both = pairs.join(wanted.select(F.col("doc").alias("a"), F.col("key").alias("ka"), F.col("t").alias("x")), ["a", "ka"]).join(
+        wanted.select(F.col("doc").alias("b"), F.col("key").alias("kb"), F.col("t").alias("y")), ["b", "kb"]
+    )
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [jaccard(x, y, verify_words) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    edges = both.select("a", "b", "x", "y").mapInArrow(verify, "u long, v long")
+    roots = connected_components(edges)
+    lost = roots.where("node <> root").select(F.col("node").alias("doc"))
+    stay = texts.join(lost, "doc", "left_anti").select(F.col("doc").alias("__doc")).distinct()
+    kept = df.withColumn("__doc", F.col(id_col).cast("long"))
+    return kept.join(stay.hint("shuffle_hash"), "__doc", "left_semi").select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
+
+
+def _prints(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """doc, fp, key (MD5 of the text)."""
+    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
+            keys = [hashlib.md5((t or "").encode()).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64)), pa.array(keys, pa.string())], ["doc", "fp", "key"])
+
+    return base.mapInArrow(run, "doc long, fp long, key string")

@@ -254,12 +254,12 @@ def _tie(raw: bytes) -> int:
     return zlib.crc32(raw) & 0x7FFFFFFF
 
 
-def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and spans (array of begin, end in bytes, united) for each row of df."""
+def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, text, spans (array of begin, end in bytes, united) and the columns `keep` for each row of df."""
     spark = df.sparkSession
     tasks = partitions(spark)
     buckets = 4 * tasks
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("others"))
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list = []
@@ -289,7 +289,7 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 gram = pa.array(p["a"].view(np.int64)) if kind else pa.nulls(len(p), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(p["doc"]), pa.array((p["at"] >> _U(32)).astype(np.int64)), pa.array((p["at"] & _U(0xFFFFFFFF)).astype(np.int32)), gram], ["doc", "tie", "place", "gram"])
 
-    marks = docs.mapInArrow(anchor, "bucket long, blob binary").repartition(tasks, "bucket").mapInArrow(settle, "doc long, tie long, place int, gram long")
+    marks = docs.select("id", "text").mapInArrow(anchor, "bucket long, blob binary").repartition(tasks, "bucket").mapInArrow(settle, "doc long, tie long, place int, gram long")
     by_doc = cut(
         marks.groupBy("doc", "tie").agg(
             F.collect_list(F.when(F.col("gram").isNull(), F.col("place"))).alias("whole"),
@@ -297,7 +297,7 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         )
     )
     keyed = docs.select(
-        F.coalesce("id", F.lit(-(1 << 63))).alias("doc"), F.crc32(F.encode("text", "UTF-8")).bitwiseAND(F.lit(0x7FFFFFFF)).cast("long").alias("tie"), "id", "text"
+        F.coalesce("id", F.lit(-(1 << 63))).alias("doc"), F.crc32(F.encode("text", "UTF-8")).bitwiseAND(F.lit(0x7FFFFFFF)).cast("long").alias("tie"), "id", "text", "others"
     )
     found = keyed.join(by_doc.hint("shuffle_hash"), ["doc", "tie"], "left")
 
@@ -328,10 +328,12 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             columns = list(zip(*spans[k : k + 100_000]))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], ["doc", "tie", "begin", "end"])
 
-    edged = found.where(F.size("edge") > 0).select("doc", "tie", "text", "edge")
+    # All columns of `found`, so that both uses of it share its exchanges.
+    edged = found.where(F.size("edge") > 0)
     spans = edged.mapInArrow(edges, "bucket long, blob binary").repartition(tasks, "bucket").mapInArrow(merge, "doc long, tie long, begin int, end int")
     cuts = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
-    joined = found.join(cuts.hint("shuffle_hash"), ["doc", "tie"], "left").select("id", "text", "whole", "cuts")
+    joined = found.join(cuts.hint("shuffle_hash"), ["doc", "tie"], "left")
+    others_type = docs.schema["others"].dataType.simpleString()
 
     def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -344,9 +346,10 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 n = len(text.encode())
                 united = unite([(max(0, p - SIDE), min(n, p + LENGTH)) for p in whole or ()] + [(c["begin"], c["end"]) for c in more or ()])
                 out.append([{"begin": b, "end": e} for b, e in united])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(out, kind)], ["id", "text", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(out, kind), batch.column("others")], ["id", "text", "spans", "others"])
 
-    return joined.mapInArrow(spans_of, "id long, text string, spans array<struct<begin: long, end: long>>").withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+    spanned = joined.mapInArrow(spans_of, f"id long, text string, spans array<struct<begin: long, end: long>>, others {others_type}")
+    return spanned.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "spans", *[F.col(f"others.`{c}`").alias(c) for c in keep])
 
 
 def _combined(docs: list[tuple[int, int, bytes]]) -> np.ndarray:
@@ -383,14 +386,15 @@ def digest(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(id_col, text_col, "spans").mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cut_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the kept text (characters that were cut in the middle go)."""
+def cut_texts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The result of repeated_spans with the kept text in place of text and spans (broken characters go)."""
+    kept = [f for f in df.schema if f.name != "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("spans").to_pylist()):
                 out.append(kept_bytes(text.encode(), [(s["begin"], s["end"]) for s in spans]).decode(errors="ignore") if spans else text)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(out, pa.string())], [id_col, text_col])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if f.name == text_col else batch.column(f.name) for f in kept], [f.name for f in kept])
 
-    return df.select(id_col, text_col, "spans").mapInArrow(run, f"{id_col} long, {text_col} string")
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept))
