@@ -1,6 +1,8 @@
 """Token counts by overlap resynchronisation.
 
-A short text is encoded whole.  A huge one is cut into chunks that overlap, the chunks are dealt out
+A short text is counted in the task that scans it: as the pieces between white space are encoded alike
+wherever they stand (see below), each different piece goes through the tokenizer once and its count is
+kept in a bounded memo.  A huge text is cut into chunks that overlap, the chunks are dealt out
 over the cluster and encoded with offsets, and the counts are spliced where both neighbours have a
 token that starts at the same place directly after white space.
 
@@ -19,8 +21,10 @@ whatever name) do not matter.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +33,11 @@ from .common import hf_tokenizer, partitions
 
 #: Characters before a cut that are not trusted (longer than any special string or contraction).
 MARGIN = 32
+#: Pieces whose counts a Python worker keeps at most.
+MEMO_PIECES = 400_000
+#: What str.split takes for white space though Unicode's White_Space does not hold it (fixed values).
+_NOT_WHITE = re.compile("[\x1c-\x1f]")
+_MEMOS: dict[str, dict[str, int]] = {}
 #: Unicode's White_Space property (fixed values).
 WHITE_SPACE = frozenset(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -45,6 +54,21 @@ def encode_chunk(tokenizer, text: str, base: int) -> tuple[int, list[int], list[
     return len(offsets), at, index
 
 
+def count_pieces(tokenizer, memo: dict[str, int], texts: list[str]) -> list[int]:
+    """Tokens of each text, by its pieces between white space."""
+    pieces = [[] if _NOT_WHITE.search(t) else t.split() for t in texts]
+    new = list(set().union(*pieces) - memo.keys())
+    if len(memo) + len(new) > MEMO_PIECES:
+        memo.clear()
+        new = list(set().union(*pieces))
+    if new:
+        # One text of all new pieces; a token belongs to the piece in which it starts.
+        starts = np.array([s for s, _ in tokenizer.encode(" ".join(new), add_special_tokens=False).offsets], np.int64)
+        begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in new])])
+        memo.update(zip(new, np.diff(np.searchsorted(starts, begins)).tolist()))
+    return [sum(map(memo.__getitem__, p)) if p else len(tokenizer.encode(t, add_special_tokens=False)) for p, t in zip(pieces, texts)]
+
+
 def cut_chunks(text: str, chunk: int, overlap: int) -> list[tuple[int, str]]:
     """(start, text) of the overlapping chunks; the last ends with the text."""
     starts = list(range(0, max(1, len(text) - overlap), chunk))
@@ -97,7 +121,7 @@ def token_counts(
     id_col: str = "doc_id",
     text_col: str = "text",
     limit: int = 2048,
-    chunk_chars: int = 16384,
+    chunk_chars: int = 32768,
     overlap_chars: int = 512,
 ) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for each row of df.
@@ -114,12 +138,12 @@ def token_counts(
     huge = base.where(F.length("text") > longest).withColumn("row_key", F.monotonically_increasing_id())
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = hf_tokenizer(tokenizer_file)
+        tokenizer, memo = hf_tokenizer(tokenizer_file), _MEMOS.setdefault(tokenizer_file, {})
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts: list[int] = []
             for k in range(0, len(texts), 64):
-                counts += [len(e) for e in tokenizer.encode_batch_fast(texts[k : k + 64], add_special_tokens=False)]
+                counts += count_pieces(tokenizer, memo, texts[k : k + 64])
             sizes = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
