@@ -32,8 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier documents hold; all documents stay."""
-    spans = suffix_dedup.repeated_spans(docs.select(*COLUMNS), keep=("lang", "source"))
-    return suffix_dedup.cut_texts(spans).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    kept = suffix_dedup.cut_texts(docs, keep=("lang", "source"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

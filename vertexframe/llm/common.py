@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 import threading
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCK = threading.Lock()
@@ -57,3 +61,16 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+def raw_values(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of each value of a string column, one at a time; null as none."""
+    wide = pa.types.is_large_string(column.type)
+    if not len(column):
+        return
+    _, places, data = column.buffers()
+    bounds = np.frombuffer(places, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    content = memoryview(data) if data is not None else memoryview(b"")
+    valid = column.is_valid().to_pylist() if column.null_count else None
+    for i in range(len(column)):
+        yield bytes(content[bounds[i] : bounds[i + 1]]) if valid is None or valid[i] else b""

@@ -37,10 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, raw_values
 
 #: Bytes of a repeat and of a gram; bytes hashed at once; entries refined at once.
-LENGTH, GRAM, BUFFER, ENTRIES = 100, 32, 1 << 21, 60_000
+LENGTH, GRAM, BUFFER, ENTRIES = 100, 32, 1 << 19, 30_000
+#: Bytes of text whose anchors are combined before they are sent.
+BATCH = 1 << 24
 SIDE = LENGTH - GRAM
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -254,8 +256,8 @@ def _tie(raw: bytes) -> int:
     return zlib.crc32(raw) & 0x7FFFFFFF
 
 
-def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, text, spans (array of begin, end in bytes, united) and the columns `keep` for each row of df."""
+def _marked(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """id, text, others (the columns `keep`), whole and cuts: what is repeated, not yet united."""
     spark = df.sparkSession
     tasks = partitions(spark)
     buckets = 4 * tasks
@@ -265,50 +267,50 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         waiting: list = []
         held = 0
         for batch in batches:
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                raw = text.encode()
+            for doc, raw in zip(batch.column("id").to_pylist(), raw_values(batch.column("text"))):
                 waiting.append((doc if doc is not None else -(1 << 63), _tie(raw), raw))
                 held += len(raw)
-                if held >= 8 * BUFFER:
+                if held >= BATCH:
                     yield _blobs(_combined(waiting), buckets)
                     waiting, held = [], 0
         if waiting:
             yield _blobs(_combined(waiting), buckets)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [np.frombuffer(x, PLACE) for batch in batches for x in batch.column("blob").to_pylist()]
+        blobs = [np.frombuffer(x.as_buffer(), PLACE) for batch in batches for x in batch.column("blob")]
         if not blobs:
             return
         places = np.concatenate(blobs)
+        del blobs
         known = places["c"] == 0  # marked by its batch
         whole, edge = resolve(places[~known])
         whole = np.concatenate([whole, places[known]])
         for part, kind in ((whole, 0), (edge, 1)):
-            for k in range(0, len(part), 100_000):
-                p = part[k : k + 100_000]
+            for k in range(0, len(part), 50_000):
+                p = part[k : k + 50_000]
                 gram = pa.array(p["a"].view(np.int64)) if kind else pa.nulls(len(p), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(p["doc"]), pa.array((p["at"] >> _U(32)).astype(np.int64)), pa.array((p["at"] & _U(0xFFFFFFFF)).astype(np.int32)), gram], ["doc", "tie", "place", "gram"])
 
     marks = docs.select("id", "text").mapInArrow(anchor, "bucket long, blob binary").repartition(tasks, "bucket").mapInArrow(settle, "doc long, tie long, place int, gram long")
+    edge = F.col("gram").isNotNull()
     by_doc = cut(
         marks.groupBy("doc", "tie").agg(
-            F.collect_list(F.when(F.col("gram").isNull(), F.col("place"))).alias("whole"),
-            F.collect_list(F.when(F.col("gram").isNotNull(), F.struct("place", "gram"))).alias("edge"),
+            F.collect_list(F.when(~edge, F.col("place"))).alias("whole"), F.collect_list(F.when(edge, F.col("place"))).alias("edge"), F.collect_list("gram").alias("grams")
         )
     )
-    keyed = docs.select(
-        F.coalesce("id", F.lit(-(1 << 63))).alias("doc"), F.crc32(F.encode("text", "UTF-8")).bitwiseAND(F.lit(0x7FFFFFFF)).cast("long").alias("tie"), "id", "text", "others"
-    )
+    # Keys that cannot be null: else one use of `found` would filter nulls and shuffle the texts on its own.
+    tie = F.coalesce(F.crc32(F.encode("text", "UTF-8")).bitwiseAND(F.lit(0x7FFFFFFF)).cast("long"), F.lit(0).cast("long"))
+    keyed = docs.select(F.coalesce("id", F.lit(-(1 << 63))).alias("doc"), tie.alias("tie"), "id", "text", "others")
     found = keyed.join(by_doc.hint("shuffle_hash"), ["doc", "tie"], "left")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            for doc, tie, text, edge in zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "text", "edge"))):
-                places = np.array([e["place"] for e in edge], np.int64)
-                grams = np.array([e["gram"] for e in edge], np.int64).view(_U)
+            for i, (doc, tie, raw) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("tie").to_pylist(), raw_values(batch.column("text")))):
+                places = batch.column("edge")[i].values.to_numpy().astype(np.int64)
+                grams = batch.column("grams")[i].values.to_numpy().view(_U)
                 order = np.argsort(grams, kind="stable")
-                parts.append(contexts_of(text.encode(), doc, tie, places[order], grams[order]))
+                parts.append(contexts_of(raw, doc, tie, places[order], grams[order]))
                 held += len(places)
                 if held >= 40_000:
                     yield _blobs(np.concatenate(parts), buckets)
@@ -317,39 +319,67 @@ def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield _blobs(np.concatenate(parts), buckets)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [np.frombuffer(x, CONTEXT) for batch in batches for x in batch.column("blob").to_pylist()]
+        blobs = [np.frombuffer(x.as_buffer(), CONTEXT) for batch in batches for x in batch.column("blob")]
         if not blobs:
             return
         entries = np.concatenate(blobs)
+        del blobs
         # Fully repeated rows are one place.
         _, once = np.unique(entries[["a", "doc", "at"]], return_index=True)
-        spans = merge_shards(entries[np.sort(once)])
-        for k in range(0, len(spans), 100_000):
-            columns = list(zip(*spans[k : k + 100_000]))
+        spans = merge_shards(entries[np.sort(once)] if len(once) < len(entries) else entries)
+        for k in range(0, len(spans), 50_000):
+            columns = list(zip(*spans[k : k + 50_000]))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], ["doc", "tie", "begin", "end"])
 
     # All columns of `found`, so that both uses of it share its exchanges.
     edged = found.where(F.size("edge") > 0)
     spans = edged.mapInArrow(edges, "bucket long, blob binary").repartition(tasks, "bucket").mapInArrow(merge, "doc long, tie long, begin int, end int")
     cuts = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
-    joined = found.join(cuts.hint("shuffle_hash"), ["doc", "tie"], "left")
-    others_type = docs.schema["others"].dataType.simpleString()
+    return found.join(cuts.hint("shuffle_hash"), ["doc", "tie"], "left")
+
+
+def _spans_of(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    """The bytes and the united repeated spans of each row of _marked."""
+    for raw, whole, more in zip(raw_values(batch.column("text")), batch.column("whole").to_pylist(), batch.column("cuts").to_pylist()):
+        yield raw, unite([(max(0, p - SIDE), min(len(raw), p + LENGTH)) for p in whole or ()] + [(c["begin"], c["end"]) for c in more or ()])
+
+
+def repeated_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text and spans (array of begin, end in bytes, united) for each row of df."""
 
-    def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            out = []
-            for text, whole, more in zip(batch.column("text").to_pylist(), batch.column("whole").to_pylist(), batch.column("cuts").to_pylist()):
-                if not whole and not more:
-                    out.append([])
-                    continue
-                n = len(text.encode())
-                united = unite([(max(0, p - SIDE), min(n, p + LENGTH)) for p in whole or ()] + [(c["begin"], c["end"]) for c in more or ()])
-                out.append([{"begin": b, "end": e} for b, e in united])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(out, kind), batch.column("others")], ["id", "text", "spans", "others"])
+            out = [[{"begin": b, "end": e} for b, e in spans] for _, spans in _spans_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(out, kind)], ["id", "text", "spans"])
+
+    spanned = _marked(df, id_col, text_col, ()).mapInArrow(run, "id long, text string, spans array<struct<begin: long, end: long>>")
+    return spanned.withColumnsRenamed({"id": id_col, "text": text_col})
+
+
+def digest(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 for each row of df."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(len(raw), sum(e - b for b, e in cuts), len(cuts), hashlib.sha256(kept_bytes(raw, cuts)).hexdigest()) for raw, cuts in _spans_of(batch)]
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return _marked(df, id_col, text_col, ()).mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+
+
+def cut_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the kept text (characters that were cut in the middle go) and the columns `keep` for each row of df."""
+    marked = _marked(df, id_col, text_col, keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [kept_bytes(raw, cuts).decode(errors="ignore") for raw, cuts in _spans_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string()), batch.column("others")], ["id", "text", "others"])
 
-    spanned = joined.mapInArrow(spans_of, f"id long, text string, spans array<struct<begin: long, end: long>>, others {others_type}")
-    return spanned.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "spans", *[F.col(f"others.`{c}`").alias(c) for c in keep])
+    out = marked.mapInArrow(run, f"id long, text string, others {marked.schema['others'].dataType.simpleString()}")
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *[F.col(f"others.`{c}`").alias(c) for c in keep])
 
 
 def _combined(docs: list[tuple[int, int, bytes]]) -> np.ndarray:
@@ -369,32 +399,3 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
         out.append(raw[at:begin])
         at = end
     return b"".join([*out, raw[at:]])
-
-
-def digest(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 of the result of repeated_spans."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("spans").to_pylist()):
-                raw, cuts = text.encode(), [(s["begin"], s["end"]) for s in spans]
-                rows.append((len(raw), sum(e - b for b, e in cuts), len(cuts), hashlib.sha256(kept_bytes(raw, cuts)).hexdigest()))
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return df.select(id_col, text_col, "spans").mapInArrow(run, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def cut_texts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The result of repeated_spans with the kept text in place of text and spans (broken characters go)."""
-    kept = [f for f in df.schema if f.name != "spans"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("spans").to_pylist()):
-                out.append(kept_bytes(text.encode(), [(s["begin"], s["end"]) for s in spans]).decode(errors="ignore") if spans else text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if f.name == text_col else batch.column(f.name) for f in kept], [f.name for f in kept])
-
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept))
