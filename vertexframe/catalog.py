@@ -32,6 +32,10 @@ class NodeType:
     def props(self) -> list[str]:
         return [c for c in self.df.columns if c not in self.hidden]
 
+    def load(self, wanted: set[str]) -> DataFrame:
+        """Rows with at least the wanted properties that exist."""
+        return self.df
+
     def id(self) -> Column:
         if len(self.key) == 1:
             return F.col(f"`{self.key[0]}`")

@@ -149,7 +149,9 @@ def assignments(graph: Graph, declared: dict[str, str | None], hops: list[tuple]
 def node_frame(node: NodeType, alias: str, wanted: set[str], everything: bool, order: bool) -> DataFrame:
     """The columns of one alias."""
     columns = []
-    for prop in node.props if everything else sorted(p for p in wanted if p in node.props):
+    base = node.load(wanted | set(node.props if everything else ()))
+    there = [c for c in base.columns if c not in node.hidden]
+    for prop in there if everything else sorted(p for p in wanted if p in there):
         columns.append(F.col(f"`{prop}`").alias(column(alias, prop)))
     columns.append(node.id().alias(column(alias, ID)))
     if TYPE in wanted or everything:
@@ -158,7 +160,7 @@ def node_frame(node: NodeType, alias: str, wanted: set[str], everything: bool, o
         columns.append((F.col(node.kind_col) if node.kind_col else F.lit(node.kind)).alias(column(alias, KIND)))
     if order:
         columns.append(node.order().alias(column(alias, ORD)))
-    return node.df.select(*columns)
+    return base.select(*columns)
 
 
 @dataclass
