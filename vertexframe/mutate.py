@@ -162,7 +162,8 @@ def _created(graph: Graph, bindings: Bindings, item, compiler: Compiler) -> tupl
             values[f.name] = ref(item.into.alias, edge.dst_cols[edge.src_cols.index(f.name)]).cast(f.dataType)
         elif f.name in node.key and f.dataType.simpleString() in ("int", "bigint"):
             top = node.df.agg(F.max(f"`{f.name}`")).first()[0] or 0
-            values[f.name] = (F.lit(top + 1) + F.monotonically_increasing_id()).cast(f.dataType)
+            # In binding order, so that a recomputed plan gives the same ids.
+            values[f.name] = (F.lit(top) + F.row_number().over(Window.orderBy(*(bindings.order() or [ref(item.into.alias, ID)])))).cast(f.dataType)
         else:
             values[f.name] = F.lit(None).cast(f.dataType)
     missing = [c for c in edge.dst_cols if column(item.into.alias, c) not in bindings.df.columns]
