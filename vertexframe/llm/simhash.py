@@ -28,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -37,6 +37,8 @@ from .components import connected_components
 SEED, BITS = 42, 64
 #: Fingerprints that correlations and candidate counts are estimated from.
 SAMPLE = 4000
+#: Candidates of each text that are compared before the rest.
+NEAREST = 4
 #: Cost of a probed key in candidates.
 KEY_COST = 4
 
@@ -85,7 +87,7 @@ def fingerprints(df: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", tex
 
 def group_bits(bits: np.ndarray, m: int) -> list[list[int]]:
     """bits (sample, 64) -> m groups of equal size (but for the last), correlated bits together."""
-    varying = bits.std(0) > 0
+    varying = bits.std(0) > 0 if len(bits) else np.zeros(BITS, bool)
     correlation = np.zeros((BITS, BITS))
     if varying.sum() > 1 and len(bits) > 2:
         picked = np.flatnonzero(varying)
@@ -119,6 +121,7 @@ def allocate(costs: list[list[float]], budget: int) -> tuple[float, list[int]]:
 
 def plan(sample: np.ndarray, n: int, distance: int) -> list[tuple[int, int]]:
     """(mask, threshold) of the probed partitions; sample: uint64 fingerprints, n: all of them."""
+    n = max(n, 1000)  # below that, costs say nothing
     bits = np.unpackbits(sample.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8)
     half = len(sample) // 2
     a, b = bits[:half].astype(np.float32), bits[half : 2 * half].astype(np.float32)
@@ -192,32 +195,42 @@ def drop_near_copies(df: DataFrame, *, distance: int = 6, shingle: int = 3, veri
 
     Groups are the components of equal texts and of texts whose fingerprints differ in at most `distance`
     bits and whose sets of `verify_words`-word shingles have a Jaccard similarity of `least` or more.
-    Texts of one fingerprint are compared with the first of them, so a crowded fingerprint makes no pairs
-    of its members.  Rows of a null id are their own groups and stay; fully repeated rows are one document.
+    Texts of one fingerprint are compared with the first of them.  Only pairs that can still join two
+    groups are compared: each text's NEAREST candidates first, then all candidates left between different
+    components; so a crowd of near copies costs some pairs for each member, and no group is missed.
+    Rows of a null id stay; fully repeated rows are one document.
     """
     named = df.where(F.col(id_col).isNotNull())
     texts = cut(_prints(named, shingle, id_col, text_col).groupBy("fp", "key").agg(F.min("doc").alias("doc")))
     reps = cut(texts.groupBy("fp").agg(F.min(F.struct("doc", "key")).alias("rep")).select("fp", "rep.doc", "rep.key"))
     found = links(reps.select("fp"), distance)
-    first = reps.select(F.col("fp").alias("u"), F.col("doc").alias("a"), F.col("key").alias("ka"))
-    second = reps.select(F.col("fp").alias("v"), F.col("doc").alias("b"), F.col("key").alias("kb"))
-    across = found.join(first, "u").join(second, "v").select("a", "ka", "b", "kb")
-    within = texts.select("fp", F.col("doc").alias("b"), F.col("key").alias("kb")).join(first.withColumnRenamed("u", "fp"), "fp").where("kb <> ka").select("a", "ka", "b", "kb")
+    first = reps.select(F.col("fp").alias("u"), F.col("doc").alias("a"))
+    second = reps.select(F.col("fp").alias("v"), F.col("doc").alias("b"))
+    across = found.join(first, "u").join(second, "v").select("a", "b", F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("d"))
+    within = texts.select("fp", F.col("doc").alias("b")).join(first.withColumnRenamed("u", "fp"), "fp").where("a <> b").select("a", "b", F.lit(0).alias("d"))
     pairs = cut(across.unionByName(within))
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc"), F.col("ka").alias("key")), F.struct(F.col("b").alias("doc"), F.col("kb").alias("key")))).alias("e")).select("e.doc", "e.key").distinct()
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "d").union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "d"))
     content = named.select(F.col(id_col).cast("long").alias("doc"), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("key"), F.col(text_col).alias("t"))
-    wanted = content.join(ends.hint("shuffle_hash"), ["doc", "key"], "left_semi")
-    both = pairs.join(wanted.select(F.col("doc").alias("a"), F.col("key").alias("ka"), F.col("t").alias("x")), ["a", "ka"]).join(
-        wanted.select(F.col("doc").alias("b"), F.col("key").alias("kb"), F.col("t").alias("y")), ["b", "kb"]
-    )
+    wanted = texts.join(both.select(F.col("x").alias("doc")).distinct(), "doc", "left_semi").select("doc", "key")
+    bodies = cut(content.join(wanted.hint("shuffle_hash"), ["doc", "key"], "left_semi").select("doc", "t"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [jaccard(x, y, verify_words) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    edges = both.select("a", "b", "x", "y").mapInArrow(verify, "u long, v long")
+    def verified(candidates: DataFrame) -> DataFrame:
+        left, right = bodies.select(F.col("doc").alias("a"), F.col("t").alias("x")), bodies.select(F.col("doc").alias("b"), F.col("t").alias("y"))
+        return cut(candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long"))
+
+    place = Window.partitionBy("x").orderBy("d", "y")
+    nearest = both.withColumn("place", F.row_number().over(place)).where(F.col("place") <= NEAREST)
+    edges = verified(nearest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     roots = connected_components(edges)
+    one, two = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    placed = pairs.select("a", "b").join(one, "a", "left").join(two, "b", "left")
+    apart = placed.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = connected_components(edges.union(verified(apart)))
     lost = roots.where("node <> root").select(F.col("node").alias("doc"))
     stay = texts.join(lost, "doc", "left_anti").select(F.col("doc").alias("__doc")).distinct()
     kept = df.withColumn("__doc", F.col(id_col).cast("long"))
