@@ -77,11 +77,12 @@ def parent_counts(graph: Graph, type_name: str) -> DataFrame:
     """The node type's key columns and `parents`, 0 included; counts are pre-aggregated before the join."""
     node = graph.type(type_name)
     counts = parents(graph, type_name).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    joined = node.df.select(*node.key).join(counts, _joined(node.key) == F.col("id"), "left")
+    joined = node.df.select(*node.key).join(counts.withColumnRenamed("id", "\x1fid"), _joined(node.key) == F.col("\x1fid"), "left")
     return joined.select(*node.key, F.coalesce("n", F.lit(0)).cast("long").alias("parents"))
 
 
 def unreachable(graph: Graph, type_name: str) -> DataFrame:
     """Nodes of a type that nothing refers to."""
     node = graph.type(type_name)
-    return node.df.join(parents(graph, type_name).select("id").distinct(), node.id().cast("string") == F.col("id"), "left_anti")
+    referred = parents(graph, type_name).select(F.col("id").alias("\x1fid")).distinct()
+    return node.df.join(referred, node.id().cast("string") == F.col("\x1fid"), "left_anti")

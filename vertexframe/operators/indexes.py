@@ -52,7 +52,12 @@ def entries(graph: Graph, index: Index) -> DataFrame:
     if index.kind == "text":
         text = _folded(first)
         length = F.length(text)
-        grams = [F.when(length >= n, F.transform(F.sequence(F.lit(1), length - n + 1), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(index.min_gram, index.max_gram + 1)]
+
+        def all_of(n: int) -> Column:
+            found = F.transform(F.sequence(F.lit(1), F.greatest(length - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+            return F.when(length >= n, found).otherwise(F.array().cast("array<string>"))
+
+        grams = [all_of(n) for n in range(index.min_gram, index.max_gram + 1)]
         return rows.select(F.explode(F.array_distinct(F.concat(*grams))).alias("key"), node.id().alias("id"))
     key = first if len(columns) == 1 else F.struct(*columns)
     return rows.select(key.alias("key"), node.id().alias("id"))
@@ -75,8 +80,8 @@ def contains(graph: Graph, index: Index, needle: str) -> DataFrame:
     if size < index.min_gram:
         return node.df.where(F.contains(text, F.lit(needle)))
     grams = sorted({folded[i : i + size] for i in range(len(folded) - size + 1)})
-    hits = entries(graph, index).where(F.col("key").isin(grams)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams))
-    return node.df.join(hits, node.id() == hits["id"], "left_semi").where(F.contains(text, F.lit(needle)))
+    hits = entries(graph, index).where(F.col("key").isin(grams)).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select(F.col("id").alias("\x1fhit"))
+    return node.df.join(hits, node.id() == F.col("\x1fhit"), "left_semi").where(F.contains(text, F.lit(needle)))
 
 
 def verify(stored: DataFrame, fresh: DataFrame) -> DataFrame:
