@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexframe.llm import mixing, packing, simhash, suffix_dedup, toxicity
-from vertexframe.llm.common import checkpoint_dir, table, tokenizer_path
+from vertexframe.llm.common import bounded_batches, checkpoint_dir, table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No SQL states the trained scores, fingerprints and tokenizer that the stages use.
@@ -21,6 +21,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted to the labels of these documents, does not find toxic."""
+    bounded_batches(spark)
     model = toxicity.fit_labelled(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 

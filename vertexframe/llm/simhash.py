@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut, raw_values
 from .components import connected_components
 
 SEED, BITS = 42, 64
@@ -44,7 +44,11 @@ KEY_COST = 4
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
-    words = (text or "").encode().lower().split()
+    return shingles_of((text or "").encode(), size)
+
+
+def shingles_of(raw: bytes, size: int) -> list[bytes]:
+    words = raw.lower().split()
     if not words:
         return []
     return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
@@ -184,9 +188,9 @@ def near_duplicates(df: DataFrame, *, distance: int = 3, shingle: int = 3, id_co
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def jaccard(a: str | None, b: str | None, size: int) -> float:
+def jaccard(a: bytes, b: bytes, size: int) -> float:
     """Similarity of the sets of shingles; 1 for two texts without words."""
-    x, y = set(shingles(a, size)), set(shingles(b, size))
+    x, y = set(shingles_of(a, size)), set(shingles_of(b, size))
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
@@ -200,6 +204,7 @@ def drop_near_copies(df: DataFrame, *, distance: int = 6, shingle: int = 3, veri
     components; so a crowd of near copies costs some pairs for each member, and no group is missed.
     Rows of a null id stay; fully repeated rows are one document.
     """
+    bounded_batches(df.sparkSession)
     named = df.where(F.col(id_col).isNotNull())
     texts = cut(_prints(named, shingle, id_col, text_col).groupBy("fp", "key").agg(F.min("doc").alias("doc")))
     reps = cut(texts.groupBy("fp").agg(F.min(F.struct("doc", "key")).alias("rep")).select("fp", "rep.doc", "rep.key"))
@@ -216,12 +221,12 @@ def drop_near_copies(df: DataFrame, *, distance: int = 6, shingle: int = 3, veri
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [jaccard(x, y, verify_words) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            good = [jaccard(x, y, verify_words) >= least for x, y in zip(raw_values(batch.column("x")), raw_values(batch.column("y")))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     def verified(candidates: DataFrame) -> DataFrame:
         left, right = bodies.select(F.col("doc").alias("a"), F.col("t").alias("x")), bodies.select(F.col("doc").alias("b"), F.col("t").alias("y"))
-        return cut(candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long"))
+        return cut(candidates.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long"))
 
     place = Window.partitionBy("x").orderBy("d", "y")
     nearest = both.withColumn("place", F.row_number().over(place)).where(F.col("place") <= NEAREST)
