@@ -5,7 +5,7 @@ document's score is the noisy-or of its sentences, 1 - product(1 - p).  Only doc
 weights are fitted to the document labels through the noisy-or, and then tell which sentences offend.
 
 The model is fitted on a bounded sample: at most MAX_FIT labelled rows, those of the smallest hashes of
-their ids (all toxic and clean rows alike, so rates are kept).  Words that occur in fewer than MIN_DOCS
+their ids (all toxic and clean rows alike, so rates are kept), without texts of over MAX_FIT_CHARS.  Words that occur in fewer than MIN_DOCS
 fitted documents, or whose log odds are not MIN_SURE standard errors above 0, are left out, and of the
 others the MAX_WORDS surest are kept, so the model is small whatever the corpus.  Labels, lang, source and ids are never
 inputs of a score.
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Rows to fit on, words of the model, documents that a word must occur in, and the decision threshold.
 MAX_FIT, MAX_WORDS, MIN_DOCS, THRESHOLD = 6000, 2000, 4, 0.3
+#: Characters of a text to fit on at most; longer texts are scored whole, but not fitted on.
+MAX_FIT_CHARS = 200_000
 #: Standard errors by which a word's log odds must exceed 0.
 MIN_SURE = 3.0
 _PARTS = re.compile(r"[^\W_]+|[.!?\n]+")
@@ -94,10 +96,12 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, ridge: float
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -12.0)
-    bags = [sentences(t or "") for t in texts]
+    # Each different word once in memory, each sentence as the set of its words.
+    same: dict[str, str] = {}
+    bags = [[{same.setdefault(w, w) for w in s} for s in sentences(t or "")] for t in texts]
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for bag, label in zip(bags, labels):
-        seen[label].update({w for s in bag for w in s})
+        seen[label].update(set().union(*bag))
     n = (len(y) - y.sum(), y.sum())
     odds = {w: np.log((seen[1][w] + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1)) for w in set(seen[0]) | set(seen[1]) if seen[0][w] + seen[1][w] >= MIN_DOCS}
     # How sure it is that a word marks toxic documents: its log odds over their standard error.
@@ -137,7 +141,8 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         .orderBy(F.xxhash64(id_col), id_col).limit(max_fit)
     )
     # One text for an id, the least by hash, so that repeated rows change nothing.
-    rows = docs.select(key.alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample.withColumnRenamed(id_col, "k")), "k")
+    short = docs.where(F.col(text_col).isNull() | (F.length(text_col) <= MAX_FIT_CHARS))
+    rows = short.select(key.alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample.withColumnRenamed(id_col, "k")), "k")
     found = rows.dropDuplicates(["k"]).orderBy("k").select("t", "label").toPandas()
     return fit([t or "" for t in found["t"]], [int(x > 0) for x in found["label"]])
 
