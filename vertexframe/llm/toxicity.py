@@ -96,9 +96,9 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, ridge: float
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -12.0)
-    # Each different word once in memory, each sentence as the set of its words.
+    # Each different word once in memory, each sentence as its different words.
     same: dict[str, str] = {}
-    bags = [[{same.setdefault(w, w) for w in s} for s in sentences(t or "")] for t in texts]
+    bags = [[tuple(dict.fromkeys(same.setdefault(w, w) for w in s)) for s in sentences(t or "")] for t in texts]
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for bag, label in zip(bags, labels):
         seen[label].update(set().union(*bag))
