@@ -7,6 +7,7 @@ one edge table.  The compiler sees both through the same interface.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -66,13 +67,25 @@ class Graph:
     edge_table: DataFrame | None = None
     anything: NodeType | None = None
 
-    def node(self, name: str, df: DataFrame, *key: str) -> Graph:
-        self.types[name] = NodeType(name, df, tuple(key))
+    #: Keys of node types, and what reads the tables of those that no query has used yet.
+    keys: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    unread: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
+
+    def node(self, name: str, df: DataFrame | Callable[[], DataFrame], *key: str) -> Graph:
+        """Adds a node type; a function is called when the type is first used."""
+        self.keys[name] = tuple(key)
+        if isinstance(df, DataFrame):
+            self.types[name] = NodeType(name, df, tuple(key))
+        else:
+            self.unread[name] = df
         return self
 
+    def names(self) -> list[str]:
+        return list(dict.fromkeys([*self.keys, *self.types]))
+
     def edge(self, label: str, src: str, src_cols, dst: str, dst_cols=None) -> Graph:
         src_cols = (src_cols,) if isinstance(src_cols, str) else tuple(src_cols)
-        dst_cols = self.types[dst].key if dst_cols is None else ((dst_cols,) if isinstance(dst_cols, str) else tuple(dst_cols))
+        dst_cols = self.keys[dst] if dst_cols is None else ((dst_cols,) if isinstance(dst_cols, str) else tuple(dst_cols))
         if len(src_cols) != len(dst_cols):
             raise BindingProblem(f"edge {label}: {len(src_cols)} columns refer to {len(dst_cols)}")
         self.edges.append(EdgeType(label, src, src_cols, dst, dst_cols))
@@ -80,7 +93,9 @@ class Graph:
 
     def type(self, name: str) -> NodeType:
         if name not in self.types:
-            raise BindingProblem(f"unknown node type {name}")
+            if name not in self.unread:
+                raise BindingProblem(f"unknown node type {name}")
+            self.types[name] = NodeType(name, self.unread[name](), self.keys[name])
         return self.types[name]
 
     def edges_between(self, src: str | None, label: str | None, dst: str | None) -> list[EdgeType]:
@@ -88,14 +103,14 @@ class Graph:
 
     def with_nodes(self, name: str, df: DataFrame) -> Graph:
         """The same graph with other rows for one node type: graphs are never changed in place."""
-        return replace(self, types={**self.types, name: replace(self.types[name], df=df)})
+        return replace(self, types={**self.types, name: replace(self.type(name), df=df)})
 
 
 def overlay(spark, sf_dir: str) -> Graph:
     """The tables of a data folder as a graph."""
 
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    def read(name: str) -> Callable[[], DataFrame]:
+        return lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     g = Graph()
     for name, table, key in (

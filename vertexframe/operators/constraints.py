@@ -92,7 +92,7 @@ def violations(graph: Graph, constraints: list[Constraint], changed: dict[str, D
             on = reduce(lambda x, y: x & y, [F.col(f"`{a}`") == F.col(f"`\x1f{b}`") for a, b in zip(edge.src_cols, edge.dst_cols)])
             parts.append(broken(rows.join(target, on, "left_anti"), F.lit(True), "reference", F.concat_ws("/", *[F.col(f"`{a}`").cast("string") for a in edge.src_cols])))
     if not parts:
-        session = next(iter(graph.types.values())).df.sparkSession
+        session = graph.type(graph.names()[0]).df.sparkSession
         return session.createDataFrame([], "type string, id string, prop string, rule string, value string")
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -131,8 +131,8 @@ def assignments(graph: Graph, declared: dict[str, str | None], hops: list[tuple]
     if graph.edge_table is not None:
         return [({a: graph.type(t) if t else graph.anything for a, t in declared.items()}, [Hop(*h) for h in hops])]
     for t in declared.values():
-        if t is not None:
-            graph.type(t)
+        if t is not None and t not in graph.names():
+            raise BindingProblem(f"unknown node type {t}")
     ways: list[tuple[dict[str, str], list[Hop]]] = [({a: t for a, t in declared.items() if t}, [])]
     for src, dst, label in hops:
         ways = [
@@ -141,7 +141,7 @@ def assignments(graph: Graph, declared: dict[str, str | None], hops: list[tuple]
             for e in graph.edges_between(types.get(src), label, types.get(dst))
         ]
     for alias in declared:
-        ways = [({**types, alias: t}, chosen) for types, chosen in ways for t in ([types[alias]] if alias in types else graph.types)]
+        ways = [({**types, alias: t}, chosen) for types, chosen in ways for t in ([types[alias]] if alias in types else graph.names())]
     ways = [w for w in ways if all(w[0][a] in names for a, names in limits.items() if a in w[0])]
     return [({a: graph.type(types[a]) for a in declared}, chosen) for types, chosen in ways]
 
