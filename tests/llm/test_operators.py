@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -406,7 +407,7 @@ def test_simhash(spark, docs, empty, rows):
 
 
 def test_allocation_is_least():
-    from itertools import product
+    from itertools import combinations, product
 
     rng = random.Random(3)
     for _ in range(50):
@@ -426,6 +427,41 @@ def test_drop_near_copies(docs, empty, rows):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def brute_stay(rows, least=0.8):
+    """Ids of the texts that are the first of their group; rows: (id, text) of different texts."""
+    parent = {i: i for i, _ in rows}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (i, a), (j, b) in combinations(rows, 2):
+        if simhash.jaccard(a.encode(), b.encode(), 5) >= least:
+            u, v = sorted((find(i), find(j)))
+            parent[v] = u
+    return {i for i in parent if find(i) == i}
+
+
+def test_drop_near_copies_beyond_the_distance(spark):
+    rng = random.Random(21)
+    made = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 5, 9, 60, 150]))]
+        other = list(words)
+        for _ in range(rng.randint(1, 3)):
+            other[rng.choice([0, -1, rng.randrange(len(other))])] = f"x{rng.randrange(5000)}"
+        made += [" ".join(words), " ".join(other), " ".join(words + ["end"])]
+    rows = list(enumerate(made))
+    far = [
+        (i, j) for (i, a), (j, b) in combinations(rows, 2)
+        if simhash.jaccard(a.encode(), b.encode(), 5) >= 0.8 and bin(simhash.fingerprint(a, 3) ^ simhash.fingerprint(b, 3)).count("1") > 6
+    ]
+    assert far
+    found = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == brute_stay(rows)
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(500 + i, 501 + i) for i in range(60)] + [(7, 7)]

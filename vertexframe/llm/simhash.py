@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,10 @@ SAMPLE = 4000
 NEAREST = 4
 #: Cost of a probed key in candidates.
 KEY_COST = 4
+#: Most common shingles, as a sample of texts shows them: at most so many, and in how many texts of the sample.
+MAX_COMMON, MIN_COMMON = 20_000, 4
+#: Texts whose rows are looked up by a broadcast of their ids; more are shuffled.
+FEW = 50_000
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -54,28 +58,48 @@ def shingles_of(raw: bytes, size: int) -> list[bytes]:
     return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
-def fingerprint(text: str | None, size: int) -> int:
-    """Unsigned 64-bit fingerprint of a text."""
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of each shingle of one word or more."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([digest(joined, SEED)], "<u8")
+    ends, at = [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0, *(e + 1 for e in ends)]
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :])], "<u8")
+
+
+def fingerprint(text: str | None, size: int) -> int:
+    """Unsigned 64-bit fingerprint of a text."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    joined = b" ".join(words)
-    if len(words) <= size:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends, at = [], -1
-        for w in words:
-            at += len(w) + 1
-            ends.append(at)
-        starts = [0, *(e + 1 for e in ends)]
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :])]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    hashes = shingle_hashes(words, size)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted hashes of the set of shingles; a text without words has the one element 0."""
+    words = (text or "").encode().lower().split()
+    return np.unique(shingle_hashes(words, size)) if words else np.zeros(1, np.uint64)
+
+
+def prefix(found: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set, common ones last, of which two sets of a Jaccard similarity of `least` share one.
+
+    Such sets share at least `least` of either's elements, so the first shared one in any fixed order has
+    no more than 1 - `least` of either set before it.
+    """
+    late = np.isin(found, common)
+    return np.concatenate([found[~late], found[late]])[: len(found) - ceil(least * len(found) - 1e-9) + 1]
+
+
 def fingerprints(df: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp (the 64 bits as a signed long) for each row."""
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -194,19 +218,51 @@ def jaccard(a: bytes, b: bytes, size: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def common_shingles(df: DataFrame, size: int, id_col: str, text_col: str) -> np.ndarray:
+    """Hashes of the shingles that occur in MIN_COMMON texts or more of a bounded sample, the most common MAX_COMMON."""
+    sample = df.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text")).orderBy("h").limit(SAMPLE).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, size).view(np.int64))], ["s"])
+
+    counts = sample.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= MIN_COMMON)
+    return np.array([r.s for r in counts.orderBy(F.desc("count"), "s").limit(MAX_COMMON).collect()], np.int64).view(np.uint64)
+
+
+def alike(sets: DataFrame, least: float) -> DataFrame:
+    """sets (node, root, n, first) -> (a, b): every pair of different roots whose sets can have a Jaccard similarity of `least`.
+
+    first: prefix of the set, n: size of the set.  A pair is made at the shingles that both prefixes share,
+    where the sizes and what is left of both sets from there on allow the overlap; at the first shared shingle
+    they allow it for every pair that is similar enough.
+    """
+    rows = sets.select("node", "root", "n", F.posexplode("first").alias("i", "s"))
+    rows = rows.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("texts > 1").drop("texts")
+    l, r = rows.alias("l"), rows.alias("r")
+    both, shorter = F.col("l.n") + F.col("r.n"), F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i"))
+    fits = shorter * (1 + least) >= both * least - 1e-6
+    pairs = l.join(r, (F.col("l.s") == F.col("r.s")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & fits)
+    return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+
+
 def drop_near_copies(df: DataFrame, *, distance: int = 6, shingle: int = 3, verify_words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df but for near copies: of each group the document of the least id stays.
 
-    Groups are the components of equal texts and of texts whose fingerprints differ in at most `distance`
-    bits and whose sets of `verify_words`-word shingles have a Jaccard similarity of `least` or more.
-    Texts of one fingerprint are compared with the first of them.  Only pairs that can still join two
-    groups are compared: each text's NEAREST candidates first, then all candidates left between different
-    components; so a crowd of near copies costs some pairs for each member, and no group is missed.
+    Groups are the components of equal texts and of texts whose sets of `verify_words`-word shingles have a
+    Jaccard similarity of `least` or more, however far their fingerprints are apart.  Only pairs that can
+    still join two groups are compared.  Fingerprints within `distance` bits are a cheap first round (each
+    text with its NEAREST, texts of one fingerprint with the first of them), so a crowd of near copies costs
+    some pairs for each member; then come all pairs of different components that share a shingle of their
+    prefixes (`alike`), which every pair of this similarity does: no link between groups is missed.
     Rows of a null id stay; fully repeated rows are one document.
     """
     bounded_batches(df.sparkSession)
     named = df.where(F.col(id_col).isNotNull())
-    texts = cut(_prints(named, shingle, id_col, text_col).groupBy("fp", "key").agg(F.min("doc").alias("doc")))
+    common = common_shingles(named, verify_words, id_col, text_col)
+    prints = _prints(named, shingle, verify_words, least, common, id_col, text_col)
+    texts = cut(prints.groupBy("fp", "key").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("first").alias("first")))
     reps = cut(texts.groupBy("fp").agg(F.min(F.struct("doc", "key")).alias("rep")).select("fp", "rep.doc", "rep.key"))
     found = links(reps.select("fp"), distance)
     first = reps.select(F.col("fp").alias("u"), F.col("doc").alias("a"))
@@ -216,34 +272,37 @@ def drop_near_copies(df: DataFrame, *, distance: int = 6, shingle: int = 3, veri
     pairs = cut(across.unionByName(within))
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "d").union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "d"))
     content = named.select(F.col(id_col).cast("long").alias("doc"), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("key"), F.col(text_col).alias("t"))
-    wanted = texts.join(both.select(F.col("x").alias("doc")).distinct(), "doc", "left_semi").select("doc", "key")
-    bodies = cut(content.join(wanted.hint("shuffle_hash"), ["doc", "key"], "left_semi").select("doc", "t"))
+
+    def bodies_of(nodes: DataFrame, few: bool) -> DataFrame:
+        wanted = texts.select("doc", "key").join(nodes, "doc", "left_semi")
+        return cut(content.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["doc", "key"], "left_semi").select("doc", "t"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [jaccard(x, y, verify_words) >= least for x, y in zip(raw_values(batch.column("x")), raw_values(batch.column("y")))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    def verified(candidates: DataFrame) -> DataFrame:
+    def verified(candidates: DataFrame, bodies: DataFrame) -> DataFrame:
         left, right = bodies.select(F.col("doc").alias("a"), F.col("t").alias("x")), bodies.select(F.col("doc").alias("b"), F.col("t").alias("y"))
         return cut(candidates.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long"))
 
     place = Window.partitionBy("x").orderBy("d", "y")
     nearest = both.withColumn("place", F.row_number().over(place)).where(F.col("place") <= NEAREST)
-    edges = verified(nearest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    roots = connected_components(edges)
-    one, two = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    placed = pairs.select("a", "b").join(one, "a", "left").join(two, "b", "left")
-    apart = placed.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = connected_components(edges.union(verified(apart)))
+    nearest = nearest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    edges = verified(nearest, bodies_of(both.select(F.col("x").alias("doc")).distinct(), False))
+    roots = connected_components(edges).withColumnRenamed("node", "doc")
+    sets = texts.join(roots, "doc", "left").select(F.col("doc").alias("node"), F.coalesce("root", "doc").alias("root"), "n", "first")
+    apart = cut(alike(sets, least))
+    nodes = cut(apart.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    roots = connected_components(edges.union(verified(apart, bodies_of(nodes, nodes.count() <= FEW))))
     lost = roots.where("node <> root").select(F.col("node").alias("doc"))
     stay = texts.join(lost, "doc", "left_anti").select(F.col("doc").alias("__doc")).distinct()
     kept = df.withColumn("__doc", F.col(id_col).cast("long"))
     return kept.join(stay.hint("shuffle_hash"), "__doc", "left_semi").select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
 
 
-def _prints(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, fp, key (MD5 of the text)."""
+def _prints(df: DataFrame, shingle: int, words: int, least: float, common: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """doc, fp, key (MD5 of the text), n and first (size and prefix of the set of `words`-word shingles)."""
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,6 +312,12 @@ def _prints(df: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFram
             texts = batch.column("text").to_pylist()
             found = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
             keys = [hashlib.md5((t or "").encode()).hexdigest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64)), pa.array(keys, pa.string())], ["doc", "fp", "key"])
-
-    return base.mapInArrow(run, "doc long, fp long, key string")
+            sizes, firsts = [], []
+            for t in texts:
+                whole = shingle_set(t, words)
+                sizes.append(len(whole))
+                firsts.append(prefix(whole, common, least).view(np.int64))
+            columns = [batch.column("id"), pa.array(found.view(np.int64)), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "fp", "key", "n", "first"])
+
+    return base.mapInArrow(run, "doc long, fp long, key string, n long, first array<long>")
