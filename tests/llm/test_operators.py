@@ -281,6 +281,24 @@ def test_toxicity(spark, docs, empty):
     assert none.score("vile") == 0.0
 
 
+def test_toxicity_of_long_clean_texts(spark):
+    rng = random.Random(8)
+    clean = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
+
+    def prose(n):
+        return ". ".join(" ".join(rng.choice(clean) for _ in range(6)) for _ in range(n))
+
+    data = [(i, prose(6) + (". a vile thing" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    # Long clean texts that hold a word of toxic ones are fitted on, too.
+    data += [(i, prose(8000) + ". an odd thing. " * 3, 0) for i in range(1000, 1008)] + [(i, prose(6) + ". an odd vile thing", 1) for i in range(2000, 2008)]
+    df = spark.createDataFrame([r[:2] for r in data], "doc_id long, text string")
+    model = toxicity.fit_labelled(df, spark.createDataFrame([(r[0], r[2]) for r in data], "doc_id long, toxic int"))
+    long = prose(30000)
+    assert len(long) > 1_000_000 and model.score(long) == 0.0
+    assert model.score(long + ". a vile thing") >= toxicity.THRESHOLD
+    assert max(model.score(t) for _, t, bad in data if not bad) < toxicity.THRESHOLD <= min(model.score(t) for _, t, bad in data if bad)
+
+
 def test_best_cuts_are_optimal():
     rng = random.Random(9)
     for _ in range(60):

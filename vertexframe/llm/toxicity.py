@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences.  A sentence's score is a logistic function of its words; the
-document's score is the noisy-or of its sentences, 1 - product(1 - p).  Only documents are labelled: the
+A document is a bag of sentences.  A sentence's score is a logistic function of its words, and 0 without a
+word of the model (so that no score rises with length alone); the document's score is the noisy-or of its sentences, 1 - product(1 - p).  Only documents are labelled: the
 weights are fitted to the document labels through the noisy-or, and then tell which sentences offend.
 
 The model is fitted on a bounded sample: at most MAX_FIT labelled rows, those of the smallest hashes of
-their ids (all toxic and clean rows alike, so rates are kept), without texts of over MAX_FIT_CHARS.  Words that occur in fewer than MIN_DOCS
-fitted documents, or whose log odds are not MIN_SURE standard errors above 0, are left out, and of the
+their ids (all toxic and clean rows alike, so rates are kept), whatever their length: words are counted by
+document on the executors, and only sentences that hold words of the model come back, as sets of those
+words with counts.  Words that occur in fewer than MIN_DOCS fitted documents, or whose log odds are not MIN_SURE standard errors above 0, are left out, and of the
 others the MAX_WORDS surest are kept, so the model is small whatever the corpus.  Labels, lang, source and ids are never
 inputs of a score.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Rows to fit on, words of the model, documents that a word must occur in, and the decision threshold.
 MAX_FIT, MAX_WORDS, MIN_DOCS, THRESHOLD = 6000, 2000, 4, 0.3
-#: Characters of a text to fit on at most; longer texts are scored whole, but not fitted on.
-MAX_FIT_CHARS = 200_000
 #: Standard errors by which a word's log odds must exceed 0.
 MIN_SURE = 3.0
 _PARTS = re.compile(r"[^\W_]+|[.!?\n]+")
@@ -62,69 +63,72 @@ class Model:
     bias: float
 
     def sentence_scores(self, text: str | None) -> list[float]:
-        return [float(_sigmoid(np.float64(self.bias + sum(self.weights.get(w, 0.0) for w in set(s))))) for s in sentences(text or "")]
+        out = []
+        for s in sentences(text or ""):
+            found = [self.weights[w] for w in set(s) if w in self.weights]
+            out.append(float(_sigmoid(np.float64(self.bias + sum(found)))) if found else 0.0)
+        return out
 
     def score(self, text: str | None) -> float:
-        """Noisy-or; sentences without a word of the model share one score."""
+        """Noisy-or of the sentences that hold a word of the model."""
         if not text or not self.weights:
             return 0.0
-        get, bias = self.weights.get, self.bias
-        plain, kept, current, filled = 0, 0.0, None, False
-        for part in _PARTS.findall(text.lower()):
-            if part[0] in ".!?\n":
-                if current is not None:
-                    kept -= float(np.logaddexp(0.0, bias + sum(current.values())))
-                elif filled:
-                    plain += 1
-                current, filled = None, False
-            else:
-                filled = True
-                weight = get(part)
-                if weight is not None:
-                    if current is None:
-                        current = {}
-                    current[part] = weight
-        if current is not None:
-            kept -= float(np.logaddexp(0.0, bias + sum(current.values())))
-        elif filled:
-            plain += 1
-        return float(-np.expm1(kept - plain * np.logaddexp(0.0, bias)))
-
-
-def fit(texts: list[str], labels: list[int], *, rounds: int = 300, ridge: float = 2e-3) -> Model:
-    """Weights of words by Adam on the likelihood of the document labels under the noisy-or."""
+        kept = 0.0
+        for found in marked_sentences(text, self.weights):
+            kept -= float(np.logaddexp(0.0, self.bias + sum(self.weights[w] for w in found)))
+        return float(-np.expm1(kept))
+
+
+def marked_sentences(text: str, words: Container[str]) -> Iterator[list[str]]:
+    """The different ones of `words` of each sentence that holds any, without holding other words in memory."""
+    current: dict[str, None] = {}
+    for match in _PARTS.finditer(text.lower()):
+        part = match.group()
+        if part in words:
+            current[part] = None
+        elif current and part[0] in ".!?\n":
+            yield list(current)
+            current = {}
+    if current:
+        yield list(current)
+
+
+def choose(seen: dict[str, tuple[int, int]], n: tuple[int, int]) -> list[str]:
+    """Words to weigh; seen: clean and toxic documents of each word, n: clean and toxic documents."""
+    # How sure it is that a word marks toxic documents: its log odds over their standard error.
+    sure = {}
+    for w, (clean, toxic) in seen.items():
+        if clean + toxic >= MIN_DOCS:
+            odds = np.log((toxic + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1))
+            sure[w] = odds / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    return [w for w in sorted(sure, key=lambda w: (-sure[w], w)) if sure[w] >= MIN_SURE][:MAX_WORDS]
+
+
+def fit(bags: list[dict[tuple[int, ...], int]], labels: list[int], chosen: list[str], *, rounds: int = 300, ridge: float = 2e-3) -> Model:
+    """Weights of words by Adam on the likelihood of the document labels under the noisy-or.
+
+    bags: of each document, how many sentences hold which of the chosen words (by place; none: left out).
+    """
     y = np.array(labels, float)
-    if not len(y) or y.min() == y.max():
+    if not chosen or not len(y) or y.min() == y.max():
         return Model({}, -12.0)
-    # Each different word once in memory, each sentence as its different words.
-    same: dict[str, str] = {}
-    bags = [[tuple(dict.fromkeys(same.setdefault(w, w) for w in s)) for s in sentences(t or "")] for t in texts]
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for bag, label in zip(bags, labels):
-        seen[label].update(set().union(*bag))
-    n = (len(y) - y.sum(), y.sum())
-    odds = {w: np.log((seen[1][w] + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1)) for w in set(seen[0]) | set(seen[1]) if seen[0][w] + seen[1][w] >= MIN_DOCS}
-    # How sure it is that a word marks toxic documents: its log odds over their standard error.
-    sure = {w: o / np.sqrt(1 / (seen[1][w] + 0.5) + 1 / (seen[0][w] + 0.5)) for w, o in odds.items()}
-    chosen = [w for w in sorted(sure, key=lambda w: (-sure[w], w)) if sure[w] >= MIN_SURE][:MAX_WORDS]
-    index = {w: i for i, w in enumerate(chosen)}
-    rows, columns, owner = [], [], []
+    rows, columns, owner, times = [], [], [], []
     for d, bag in enumerate(bags):
-        for s in bag:
-            found = {index[w] for w in s if w in index}
+        for found, count in sorted(bag.items()):
             rows += [len(owner)] * len(found)
             columns += found
             owner.append(d)
-    r, c, o = np.array(rows, int), np.array(columns, int), np.array(owner, int)
+            times.append(count)
+    r, c, o, k = np.array(rows, int), np.array(columns, int), np.array(owner, int), np.array(times, float)
     w, bias = np.zeros(len(chosen)), -6.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, rounds + 1):
         z = bias + np.bincount(r, w[c], len(o))
         p = _sigmoid(z)
-        none = np.bincount(o, -np.logaddexp(0, z), len(y))  # log of the chance that no sentence offends
+        none = np.bincount(o, -k * np.logaddexp(0, z), len(y))  # log of the chance that no sentence offends
         doc = np.maximum(-np.expm1(none), 1e-9)
         # d loss / d z: p for clean documents, -p (1 - doc) / doc for toxic ones.
-        g = p * np.where(y[o] == 1, -np.exp(none[o]) / doc[o], 1.0) / len(y)
+        g = k * p * np.where(y[o] == 1, -np.exp(none[o]) / doc[o], 1.0) / len(y)
         grad = np.append(np.bincount(c, g[r], len(w)) + ridge * w / len(y), g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-12)
@@ -141,10 +145,40 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         .orderBy(F.xxhash64(id_col), id_col).limit(max_fit)
     )
     # One text for an id, the least by hash, so that repeated rows change nothing.
-    short = docs.where(F.col(text_col).isNull() | (F.length(text_col) <= MAX_FIT_CHARS))
-    rows = short.select(key.alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample.withColumnRenamed(id_col, "k")), "k")
-    found = rows.dropDuplicates(["k"]).orderBy("k").select("t", "label").toPandas()
-    return fit([t or "" for t in found["t"]], [int(x > 0) for x in found["label"]])
+    rows = docs.select(key.alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample.withColumnRenamed(id_col, "k")), "k")
+    rows = cut(rows.groupBy("k", "label").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("k", (F.col("label") > 0).cast("int").alias("label"), "t"))
+    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    n = (totals.get(0, 0), totals.get(1, 0))
+    if not all(n):
+        return fit([], [], [])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, t in zip(batch.column("label").to_pylist(), batch.column("t").to_pylist()):
+                found = list({m.group() for m in _PARTS.finditer((t or "").lower()) if m.group()[0] not in ".!?\n"})
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label] * len(found), pa.int32())], ["w", "label"])
+
+    counts = rows.select("label", "t").mapInArrow(words, "w string, label int").groupBy("w").agg(F.sum(1 - F.col("label")).alias("clean"), F.sum("label").alias("toxic"))
+    # No word that is as common among clean documents is sure to mark toxic ones.
+    marking = counts.where((F.col("clean") + F.col("toxic") >= MIN_DOCS) & ((F.col("toxic") + 0.5) / (n[1] + 1) > (F.col("clean") + 0.5) / (n[0] + 1)))
+    chosen = choose({r.w: (r.clean, r.toxic) for r in marking.collect()}, n)
+    index = {w: i for i, w in enumerate(chosen)}
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, label, t in zip(batch.column("k"), batch.column("label").to_pylist(), batch.column("t").to_pylist()):
+                bag = Counter(tuple(sorted(index[w] for w in found)) for found in marked_sentences(t or "", index))
+                if bag:
+                    columns = [pa.array([k.as_py()] * len(bag), batch.column("k").type), pa.array([label] * len(bag), pa.int32()), pa.array(bag.keys(), pa.list_(pa.int32())), pa.array(bag.values(), pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["k", "label", "found", "times"])
+
+    held: dict = {}
+    id_type = rows.schema["k"].dataType.simpleString()
+    for r in rows.mapInArrow(bags, f"k {id_type}, label int, found array<int>, times long").orderBy("k").collect():
+        held.setdefault(r.k, (r.label, {}))[1][tuple(r.found)] = r.times
+    # Documents without any such sentence say nothing of the weights, but count in the rates.
+    empty = [n[label] - sum(1 for x, _ in held.values() if x == label) for label in (0, 1)]
+    return fit([bag for _, bag in held.values()] + [{}] * sum(empty), [x for x, _ in held.values()] + [0] * empty[0] + [1] * empty[1], chosen)
 
 
 def score_documents(df: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
