@@ -480,6 +480,16 @@ def test_drop_near_copies_beyond_the_distance(spark):
     assert {r.doc_id for r in found.collect()} == brute_stay(rows)
 
 
+def test_near_copies_of_one_fingerprint(spark):
+    line = " ".join(f"line{k}" for k in range(9)) + " "
+    own = [" ".join(f"{x}{k}" for k in range(60)) for x in "abb"]
+    rows = [(i, line * 60 + t + tail) for i, (t, tail) in enumerate(zip(own, ("", "", " other end")))]
+    assert len({simhash.fingerprint(t, 3) for _, t in rows}) == 1
+    assert brute_stay(rows) == {0, 1}
+    found = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in found.collect()} == {0, 1}
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(500 + i, 501 + i) for i in range(60)] + [(7, 7)]
