@@ -2,7 +2,9 @@
 empty tables and clashing columns."""
 
 import hashlib
+import json
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -11,11 +13,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vertexframe.llm import chat_format, media_audio, mixing, packing, sharding, simhash, suffix_dedup, token_counts, topk_search, toxicity
+from vertexframe.llm import chat_format, common, media_audio, mixing, packing, rolling, sharding, simhash, suffix_dedup, token_counts, topk_search, toxicity
 from vertexframe.llm.common import hf_tokenizer, tokenizer_path
 from vertexframe.llm.components import connected_components
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, size string, spans string, score string, fp string, bucket string, copies string, place string"
+#: Columns whose names operators use inside, or add (in another case), or that hold dots and backticks.
+CLASHES = ("id", "Size", "spans", "Score", "fp", "bucket", "copies", "place", "whole", "last", "t0", "rest", "row", "t", "key", "doc", "__s", "__hash", "__doc", "feature", "Media", "a.b", "c`d", "_")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in CLASHES)
 
 
 def texts():
@@ -38,8 +42,8 @@ def texts():
 @pytest.fixture(scope="module")
 def rows():
     t = texts()
-    out = [(i, x, "en", f"src{i % 4}" if i % 5 else None, len(x or "")) + ("clash",) * 8 for i, x in enumerate(t)]
-    return out + [out[9], out[1], (None, t[12], None, None, None) + (None,) * 8]  # repeated rows, a null id
+    out = [(i, x, "en", f"src{i % 4}" if i % 5 else None, len(x or "")) + ("clash",) * len(CLASHES) for i, x in enumerate(t)]
+    return out + [out[9], out[1], (None, t[12], None, None, None) + (None,) * len(CLASHES)]  # repeated rows, a null id
 
 
 @pytest.fixture(scope="module")
@@ -62,15 +66,41 @@ def test_token_counts(docs, empty, rows):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
-def test_splicing_widens():
-    tokenizer = hf_tokenizer(tokenizer_path("word_bpe_49k.json"))
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_splicing_widens(name):
+    path = tokenizer_path(name)
+    tokenizer, rule = hf_tokenizer(path), token_counts.boundary_rule(path)
     rng = random.Random(1)
-    pieces = ["a", "é", "é", " ", "　", "\n", "1", "'s", "'", "<|endoftext|>", "中", "--", "\x1c", "Σ", "word "]
-    for n in range(150):
+    pieces = ["a", "é", "é", " ", "　", "\n", "1", "'s", "'", "<|endoftext|>", "中", "--", "\x1c", "Σ", "word ", " the", "  ", "😀", "\u0301"]
+    for n in range(300):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 500)))
-        want = len(tokenizer.encode(text, add_special_tokens=False).ids)
-        assert token_counts.count_spliced(tokenizer, text, 60, 40) == want
-        assert token_counts.count_pieces(tokenizer, {}, [text]) == [want]
+        assert token_counts.count_spliced(tokenizer, rule, text, 60, 40) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_token_counts_of_another_vocabulary(docs, rows):
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer = hf_tokenizer(path)
+    found = token_counts.token_counts(docs, path, chunk_chars=900, overlap_chars=120).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in found) == Counter((r[0], len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids)) for r in rows)
+
+
+def test_unproven_vocabularies_are_refused(tmp_path):
+    spec = json.load(open(tokenizer_path("word_bpe_49k.json")))
+    split = spec["pre_tokenizer"]["pretokenizers"][0]
+    changes = [
+        lambda s: s["normalizer"]["normalizers"].append({"type": "Strip", "strip_left": True, "strip_right": True}),
+        lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=split["pattern"]["Regex"] + "|\\s+"),
+        lambda s: s["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex="[^\\p{L}]+"),
+        lambda s: s.update(pre_tokenizer=None),
+        lambda s: s["added_tokens"][0].update(lstrip=True),
+        lambda s: s["added_tokens"][0].update(content="two words"),
+    ]
+    for k, change in enumerate(changes):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        (tmp_path / f"{k}.json").write_text(json.dumps(other))
+        with pytest.raises(ValueError):
+            token_counts.boundary_rule(str(tmp_path / f"{k}.json"))
 
 
 def test_external_shuffle(docs, empty, rows):
@@ -88,6 +118,16 @@ def test_external_shuffle(docs, empty, rows):
     assert [tuple(r) for r in sharding.external_shuffle(docs, bucket_rows=5).orderBy("shard", "slot").select("shard", "slot", "text_crc32").collect()] == sorted((r.shard, r.slot, r.text_crc32) for r in found)
 
 
+def test_shuffle_of_long_texts(spark):
+    # Together beyond what one row of Spark can hold (2 GB), as a bucket of 2048 rows would be.
+    df = spark.range(1200, numPartitions=16).select(F.col("id").alias("doc_id"), F.expr("repeat(cast(id % 10 AS string), 2000000)").alias("text"))
+    found = sharding.external_shuffle(df).select("doc_id", "size", "shard", "slot").collect()
+    assert Counter(r.doc_id for r in found) == Counter(range(1200)) and {r["size"] for r in found} == {2000001}
+    assert {(r.shard, r.slot) for r in found} == {(s, k) for s in range(8) for k in range(150)}
+    bytes_first = sharding.external_shuffle(df.limit(40), bucket_bytes=1 << 22)
+    assert Counter(bytes_first.groupBy("shard").count().toPandas()["count"]) == {5: 8}
+
+
 def test_shuffle_is_uniform(spark):
     df = spark.range(8000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     found = sharding.external_shuffle(df, bucket_rows=256).select("doc_id", (F.col("slot") * 8 + F.col("shard")).alias("place")).toPandas()
@@ -281,6 +321,38 @@ def test_toxicity(spark, docs, empty):
     assert none.score("vile") == 0.0
 
 
+def test_toxicity_fit_against_brute_force():
+    """Loss and gradient against a plain sum over documents and a numeric derivative; the fit ends where the gradient is small."""
+    rng = random.Random(14)
+    bags, labels = [], []
+    for d in range(60):
+        bags.append({tuple(sorted(rng.sample(range(5), rng.randint(1, 3)))): rng.randint(1, 4) for _ in range(rng.randint(0, 4))})
+        labels.append(int(any(0 in found or 1 in found and rng.random() < 0.7 for found in bags[-1]) or rng.random() < 0.05))
+
+    def brute(theta, ridge):
+        total = 0.0
+        for bag, y in zip(bags, labels):
+            none = 1.0
+            for found, times in bag.items():
+                none *= (1 - 1 / (1 + np.exp(-(theta[-1] + sum(theta[w] for w in found))))) ** times
+            total -= np.log(max(1 - none, 1e-9)) if y else np.log(none)
+        return (total + ridge / 2 * sum(x * x for x in theta[:-1])) / len(bags)
+
+    task = toxicity.Bags(bags, labels, 5)
+    for _ in range(5):
+        theta = np.array([rng.uniform(-2, 2) for _ in range(5)] + [rng.uniform(-4, 0)])
+        loss, gradient = task.loss(theta, 0.01)
+        assert loss == pytest.approx(brute(theta, 0.01))
+        for k in range(6):
+            if any(bags[d] and labels[d] for d in range(60)):
+                step = np.eye(6)[k] * 1e-5
+                assert gradient[k] == pytest.approx((brute(theta + step, 0.01) - brute(theta - step, 0.01)) / 2e-5, rel=1e-4, abs=1e-6)
+    model = toxicity.fit(bags, labels, list("abcde"), rounds=3000, ridge=0.5)
+    end = np.array([model.weights.get(w, 0.0) for w in "abcde"] + [model.bias])
+    assert np.abs(task.loss(end, 0.5)[1]).max() < 2e-3
+    assert brute(end, 0.5) <= min(brute(end + np.array([rng.gauss(0, 0.2) for _ in range(6)]), 0.5) for _ in range(200))
+
+
 def test_toxicity_of_long_clean_texts(spark):
     rng = random.Random(8)
     clean = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
@@ -320,7 +392,6 @@ def test_best_cuts_are_optimal():
 def test_packing(docs, empty, rows, length):
     path = tokenizer_path("byte_bpe_50k.json")
     tokenizer = hf_tokenizer(path)
-    tokenizer.encode_special_tokens = False
     found = packing.pack(docs, path, length=length).collect()
     want = Counter()
     for r in rows:
@@ -372,7 +443,7 @@ def test_g711_and_adpcm():
         assert got.tolist() == want
 
 
-@pytest.mark.parametrize("codec", ["mulaw", "alaw", "adpcm"])
+@pytest.mark.parametrize("codec", ["mulaw", "alaw", "adpcm", None])
 def test_audio(docs, empty, rows, codec):
     found = media_audio.decode_audio(media_audio.store_audio(docs, codec=codec)).collect()
     want = Counter()
@@ -381,18 +452,46 @@ def test_audio(docs, empty, rows, codec):
         payload = raw + b" " * (-len(raw) % 192 if raw else 192)
         want[r[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in found) == want
-    assert all(r.media_bytes > r.payload_bytes and len(r.pcm) >= 4 * 192 for r in found)
+    assert all(r.media_bytes > r.payload_bytes and len(r.pcm) >= 4 * 192 and f"pcm={zlib.crc32(r.pcm):08x}" in r.feature for r in found)
     assert len({r.feature for r in found if r.doc_id in (19, 20)}) == 1
+    codecs = {r.feature.split(";")[0] for r in found}
+    assert codecs == {codec} if codec else codecs == set(media_audio.CODECS)
+    # What is stored expands to the PCM, whatever the codec: file by file, block by block.
+    for r in found:
+        raw = next((x[1] or "").encode() for x in rows if x[0] == r.doc_id)
+        payload = media_audio.payload_of(raw)
+        name = r.feature.split(";")[0]
+        wave = np.concatenate([media_audio.decode_adpcm(np.frombuffer(payload[k : k + 192], np.uint8)[None])[0] for k in range(0, len(payload), 192)]) if name == "adpcm" else media_audio.TABLES[name][np.frombuffer(payload, np.uint8)]
+        assert r.pcm == media_audio.resample(wave, 8000, 16000).tobytes()
     assert media_audio.decode_audio(media_audio.store_audio(empty)).count() == 0
+    clashing = media_audio.store_audio(docs, codec=codec).withColumns({"Feature": F.lit("old"), "a.b": F.lit(1), "row": F.lit(2)})
+    decoded = media_audio.decode_audio(clashing)
+    assert decoded.columns == ["doc_id", "n_bytes", "a.b", "row", *media_audio.ADDED] and "old" not in {r.feature for r in decoded.collect()}
 
 
 def brute_fingerprint(text, size):
     import xxhash
 
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in simhash.shingles(text, size)]
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(max(1, len(words) - size + 1))] if words else []
     return sum(1 << b for b in range(64) if hashes and 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def components_of(pairs):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {(n, find(n)) for p in pairs if p[0] != p[1] for n in p}
+
+
 def test_simhash(spark, docs, empty, rows):
     rng = random.Random(12)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -402,6 +501,8 @@ def test_simhash(spark, docs, empty, rows):
         found = Counter((r.u, r.v) for r in simhash.links(spark.createDataFrame(signed, "fp long"), distance).collect())
         want = {(a[0], b[0]) for a in signed for b in signed if a < b and bin((a[0] ^ b[0]) & (2**64 - 1)).count("1") <= distance}
         assert set(found) == want and set(found.values()) == {1}
+        joined = {(r.u, r.v) for r in simhash.joining_links(spark.createDataFrame(signed, "fp long"), distance).collect()}
+        assert joined <= want and components_of(joined) == components_of(want)
     out = simhash.near_duplicates(docs).collect()
     fps = [(r[0], brute_fingerprint(r[1], 3)) for r in rows]
     assert Counter((r.doc_id, r.fingerprint) for r in out) == Counter((i, f"{f:016x}") for i, f in fps)
@@ -445,6 +546,12 @@ def test_drop_near_copies(docs, empty, rows):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def jaccard(a, b, size=5):
+    """Similarity of the sets of shingles, as sets of strings; 1 for two texts without words."""
+    x, y = ({" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (t.lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
 def brute_stay(rows, least=0.8):
     """Ids of the texts that are the first of their group; rows: (id, text) of different texts."""
     parent = {i: i for i, _ in rows}
@@ -455,7 +562,7 @@ def brute_stay(rows, least=0.8):
         return i
 
     for (i, a), (j, b) in combinations(rows, 2):
-        if simhash.jaccard(a.encode(), b.encode(), 5) >= least:
+        if jaccard(a, b) >= least:
             u, v = sorted((find(i), find(j)))
             parent[v] = u
     return {i for i in parent if find(i) == i}
@@ -473,13 +580,54 @@ def test_drop_near_copies_beyond_the_distance(spark):
     rows = list(enumerate(made))
     far = [
         (i, j) for (i, a), (j, b) in combinations(rows, 2)
-        if simhash.jaccard(a.encode(), b.encode(), 5) >= 0.8 and bin(simhash.fingerprint(a, 3) ^ simhash.fingerprint(b, 3)).count("1") > 6
+        if jaccard(a, b) >= 0.8 and bin(simhash.fingerprint(a, 3) ^ simhash.fingerprint(b, 3)).count("1") > 6
     ]
     assert far
     found = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in found.collect()} == brute_stay(rows)
 
 
+def test_a_crowd_of_near_copies(spark, monkeypatch):
+    """Crowds, chains and texts that share a passage only; small sides broadcast or not."""
+    rng = random.Random(33)
+    passage, made = [f"p{k}" for k in range(40)], []
+    for crowd in range(3):
+        base = [f"c{crowd}w{rng.randrange(400)}" for _ in range(120)]
+        for _ in range(30):
+            other = list(base)
+            for _ in range(rng.randint(0, 4)):
+                other[rng.randrange(len(other))] = f"x{rng.randrange(900)}"
+            made.append(" ".join(other))
+        made += [" ".join(base[:60] + passage + base[60:]), " ".join(passage + [f"o{crowd}{k}" for k in range(50)])]
+    chain = [f"s{k}" for k in range(400)]
+    made += [" ".join(chain[12 * k : 12 * k + 150]) for k in range(20)]
+    rng.shuffle(made)
+    first = {}
+    for i, t in enumerate(made):
+        first.setdefault(t, i)
+    want = brute_stay([(i, t) for t, i in first.items()])
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(6)
+    assert {r.doc_id for r in simhash.drop_near_copies(df).collect()} == want
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert {r.doc_id for r in simhash.drop_near_copies(df).collect()} == want
+
+
+def test_an_id_with_several_texts(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(80)) for x in "abc"]
+    rows = [(1, texts[0]), (2, texts[0] + " end"), (2, texts[1]), (3, texts[2]), (3, texts[2]), (4, texts[1] + " end"), (None, texts[2])]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[2], rows[3], rows[4], rows[6]])
+
+
+def test_rolling_sets(rows):
+    for r in rows:
+        raw = (r[1] or "").encode()
+        words = raw.lower().split()
+        assert len(rolling.word_hashes(raw)) == len(words) and len(set(rolling.word_hashes(raw).tolist())) == len(set(words))
+        assert len(rolling.shingle_set(raw, 5)) == len({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+        assert simhash.text_key(raw) >= 0
+
+
 def test_near_copies_of_one_fingerprint(spark):
     line = " ".join(f"line{k}" for k in range(9)) + " "
     own = [" ".join(f"{x}{k}" for k in range(60)) for x in "abb"]
@@ -493,18 +641,9 @@ def test_near_copies_of_one_fingerprint(spark):
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(500 + i, 501 + i) for i in range(60)] + [(7, 7)]
-    parent = {}
-
-    def find(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    want = {(n, find(n)) for p in pairs if p[0] != p[1] for n in p}
+    want = components_of(pairs)
     found = connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()
     assert {(r.node, r.root) for r in found} == want and len(found) == len(want)
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    stars = [(0, i) for i in range(1, 900)] + [(2000, i) for i in range(800, 1500)] + [(3000 + i, 3001 + i) for i in range(100)]
+    assert {(r.node, r.root) for r in connected_components(spark.createDataFrame(stars, "u long, v long")).collect()} == components_of(stars)

@@ -9,8 +9,8 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from test_operators import brute_fingerprint, brute_mix, brute_repeats
-from vertexframe.llm import simhash, toxicity
+from test_operators import brute_fingerprint, brute_mix, brute_repeats, jaccard
+from vertexframe.llm import toxicity
 from vertexframe.llm.common import hf_tokenizer, tokenizer_path
 
 
@@ -43,7 +43,6 @@ def test_near_copy_stage(stages):
     least = {}
     for r in sorted(before):
         least.setdefault(r[1], r[0])
-    prints = {t: brute_fingerprint(t, 3) for t in least}
     names = list(least)
     parent = {t: t for t in names}
 
@@ -54,7 +53,7 @@ def test_near_copy_stage(stages):
 
     for i, a in enumerate(names):
         for b in names[:i]:
-            if bin(prints[a] ^ prints[b]).count("1") <= 6 and simhash.jaccard(a.encode(), b.encode(), 5) >= 0.8:
+            if jaccard(a, b) >= 0.8:
                 parent[find(a)] = find(b)
     groups = defaultdict(list)
     for t in names:
@@ -90,7 +89,6 @@ def test_mix_stage(stages):
 def test_pack_stage(stages):
     _, before, after = stages[4]
     tokenizer = hf_tokenizer(tokenizer_path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = False
     want = Counter()
     for r in before:
         want[r[0]] += len(tokenizer.encode(r[1], add_special_tokens=False).ids) + 1

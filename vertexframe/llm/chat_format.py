@@ -4,9 +4,10 @@ A turn is rendered as `<turn ROLE>TEXT</turn>` and a newline, where in ROLE and
 before every backslash, `<` and `>`.  An unescaped `<` therefore only ever begins a mark of the
 template, whatever the texts hold, and parsing gives roles and texts back exactly.
 
-A conversation is rendered whole and encoded once, with offsets.  The spans of the texts of the
-trained-on roles (sorted, disjoint) are intersected with the token spans (sorted) by binary search: the
-loss mask marks the tokens that meet such a span, and the loss text is what these tokens cover of it.
+A conversation is rendered whole and encoded once, with offsets (in bytes of its UTF-8: the tokens of a
+byte-level vocabulary lie one after the other).  The spans of the texts of the trained-on roles (sorted,
+disjoint) are intersected with the token spans (sorted) by binary search: the loss mask marks the tokens
+that meet such a span, and the loss text is what these tokens cover of it.
 
 Defined results: null text counts as empty, null role as the role `null`; turns are ordered by turn
 (null first), then role and text, so repeated rows and ties stay and have a fixed order; an empty table
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hf_tokenizer, partitions
+from .common import col, partitions, raw_values
+from .packing import FastTokenizer, fast_tokenizer
 
 _ESCAPES = str.maketrans({"\\": "\\\\", "<": "\\<", ">": "\\>"})
 
@@ -42,13 +44,15 @@ def unescape(text: str) -> str:
 
 
 def render(turns: Iterable[tuple[str, str]]) -> tuple[str, list[tuple[str, int, int]]]:
-    """The rendered conversation and, for each turn, its role and where its escaped text lies."""
+    """The rendered conversation and, for each turn, its role and where the bytes of its escaped text lie."""
     parts, spans, at = [], [], 0
     for role, text in turns:
         head, body = f"<turn {escape(role)}>", escape(text)
         parts += [head, body, "</turn>\n"]
-        spans.append((role, at + len(head), at + len(head) + len(body)))
-        at += len(head) + len(body) + 8
+        begin = at + len(head.encode())
+        end = begin + len(body.encode())
+        spans.append((role, begin, end))
+        at = end + 8
     return "".join(parts), spans
 
 
@@ -73,67 +77,65 @@ def parse(rendered: str) -> list[tuple[str, str]]:
 
 
 def loss_pieces(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Mask over tokens and the covered characters, by binary search of sorted spans in sorted tokens.
-
-    Token spans may touch or overlap (a character of several bytes can belong to several tokens).
-    """
+    """Mask over tokens and the covered places, by binary search of sorted spans in sorted tokens."""
     mask = np.zeros(len(starts), bool)
-    pieces = []
-    for begin, end in spans:
-        if begin == end:
+    pieces: list[tuple[int, int]] = []
+    begins, stops = (np.array(x, np.int64) for x in (zip(*spans) if spans else ((), ())))
+    firsts, lasts = np.searchsorted(ends, begins, "right"), np.searchsorted(starts, stops, "left")
+    for begin, end, first, last in zip(begins.tolist(), stops.tolist(), firsts.tolist(), lasts.tolist()):
+        if begin == end or first >= last:
             continue
-        first, last = int(np.searchsorted(ends, begin, "right")), int(np.searchsorted(starts, end, "left"))
         mask[first:last] = True
-        at = begin
-        for s, e in zip(starts[first:last].tolist(), ends[first:last].tolist()):
-            s, e = max(s, at), min(e, end)
-            if e > s:
-                if pieces and pieces[-1][1] == s and at > begin:
-                    pieces[-1] = (pieces[-1][0], e)
-                else:
-                    pieces.append((s, e))
-                at = e
+        s, e = np.maximum(starts[first:last], begin), np.minimum(ends[first:last], end)
+        gaps = np.flatnonzero(s[1:] > np.maximum.accumulate(e)[:-1]) + 1
+        bounds = [0, *gaps.tolist(), len(s)]
+        pieces += [(int(s[a]), int(e[a:b].max())) for a, b in zip(bounds, bounds[1:])]
     return mask, pieces
 
 
-def format_one(turns: list[tuple[str, str]], tokenizer, trained: frozenset) -> dict:
+def format_one(turns: list[tuple[str, str]], tokenizer: FastTokenizer, trained: frozenset) -> tuple[str, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Rendered conversation, token ids, loss mask, loss spans."""
     rendered, spans = render(turns)
-    encoding = tokenizer.encode(rendered, add_special_tokens=False)
-    offsets = np.array(encoding.offsets, np.int64).reshape(-1, 2)
-    mask, pieces = loss_pieces([(s, e) for role, s, e in spans if role in trained], offsets[:, 0], offsets[:, 1])
-    return {"formatted": rendered, "token_ids": encoding.ids, "loss_mask": mask.tolist(), "loss_spans": [{"start": s, "end": e} for s, e in pieces]}
+    ids = tokenizer.plain_ids(rendered)  # special strings inside texts are ordinary text
+    ends = np.cumsum(tokenizer.sizes[ids])
+    mask, pieces = loss_pieces([(s, e) for role, s, e in spans if role in trained], ends - tokenizer.sizes[ids], ends)
+    return rendered, ids, mask, pieces
 
 
 RESULT = "formatted string, token_ids array<int>, loss_mask array<boolean>, loss_spans array<struct<start: long, end: long>>"
-_ARROW = pa.schema([("formatted", pa.string()), ("token_ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_())), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
+
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    flat = np.concatenate(values) if values else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat, kind))
 
 
 def format_conversations(
     df: DataFrame, tokenizer_file: str, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trained_roles: tuple[str, ...] = ("assistant",)
 ) -> DataFrame:
-    """id, formatted, token_ids, loss_mask, loss_spans for each conversation."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("null")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """id, formatted, token_ids, loss_mask, loss_spans (in bytes of formatted) for each conversation."""
+    rows = df.select(col(id_col).alias("id"), col(turn_col).alias("turn"), F.coalesce(col(role_col), F.lit("null")).alias("role"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     trained = frozenset(trained_roles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = hf_tokenizer(tokenizer_file)
-        tokenizer.encode_special_tokens = True  # special strings inside texts are ordinary text
+        tokenizer = fast_tokenizer(tokenizer_file)
         current, turns, out, size = None, [], [], 0
         id_field = None
 
-        def flush():
-            done = pa.RecordBatch.from_pylist([r for _, r in out], _ARROW)
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], id_field), *done.columns], ["id", *_ARROW.names])
+        def flush() -> pa.RecordBatch:
+            spans = pa.array([[{"start": s, "end": e} for s, e in pieces] for _, (_, _, _, pieces) in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            columns = [pa.array([i for i, _ in out], id_field), pa.array([r[0] for _, r in out], pa.string()), _lists([r[1].astype(np.int32) for _, r in out], pa.int32()), _lists([r[2] for _, r in out], pa.bool_()), spans]
+            return pa.RecordBatch.from_arrays(columns, ["id", "formatted", "token_ids", "loss_mask", "loss_spans"])
 
         for batch in batches:
             id_field = batch.schema.field("id").type
             for key, role, text in zip(batch.column("id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist()):
                 if turns and key != current:
                     out.append((current, format_one(turns, tokenizer, trained)))
-                    size += len(out[-1][1]["formatted"])
+                    size += len(out[-1][1][0])
                     turns = []
-                    if size > 4_000_000:
+                    if size > 2_000_000:
                         yield flush()
                         out, size = [], 0
                 current = key
@@ -148,24 +150,26 @@ def format_conversations(
 
 
 def read_back(df: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
-    """Digests of what the formatted conversations hold: turns by parsing, loss text by the loss mask."""
-    id_type = df.schema[id_col].dataType.simpleString()
+    """Digests of what the formatted conversations hold: turns by parsing, loss text by the spans of the loss mask."""
+    base = df.select(
+        col(id_col).alias("id"), "formatted", "loss_spans", F.size("token_ids").cast("long").alias("n_tokens"), F.size(F.filter("loss_mask", lambda x: x)).cast("long").alias("loss_tokens")
+    )
+    id_type = base.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = {"n_turns": [], "turns_sha256": [], "loss_chars": [], "loss_sha256": [], "formatted_chars": [], "n_tokens": [], "loss_tokens": []}
-            for text, spans, mask in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist(), batch.column("loss_mask").to_pylist()):
+            out = {"n_turns": [], "turns_sha256": [], "loss_chars": [], "loss_sha256": [], "formatted_chars": []}
+            for raw, spans in zip(raw_values(batch.column("formatted")), batch.column("loss_spans").to_pylist()):
+                text = raw.decode()
                 turns = parse(text)
-                loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
+                loss = "".join(unescape(raw[s["start"] : s["end"]].decode()) for s in spans)
                 out["n_turns"].append(len(turns))
                 out["turns_sha256"].append(hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
                 out["loss_chars"].append(len(loss))
                 out["loss_sha256"].append(hashlib.sha256(loss.encode()).hexdigest())
                 out["formatted_chars"].append(len(text))
-                out["n_tokens"].append(len(mask))
-                out["loss_tokens"].append(sum(mask))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.string() if "sha" in k else pa.int64()) for k, v in out.items())], [id_col, *out])
+            added = [pa.array(v, pa.string() if "sha" in k else pa.int64()) for k, v in out.items()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *added, batch.column("n_tokens"), batch.column("loss_tokens")], ["id", *out, "n_tokens", "loss_tokens"])
 
-    return df.select(id_col, "formatted", "loss_spans", "loss_mask").mapInArrow(
-        run, f"{id_col} {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long"
-    )
+    found = base.mapInArrow(run, f"id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long")
+    return found.withColumnRenamed("id", id_col)

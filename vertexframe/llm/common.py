@@ -4,23 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import threading
-
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCK = threading.Lock()
 _TOKENIZERS: dict = {}
+#: Rows of a broadcast side that its callers count first (ids and keys of 16 bytes: some 20 MB at most).
+BROADCAST_ROWS = 200_000
+#: Names of the columns that hold a caller's row while an operator works on it.
+ROW = "row"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset and Spark is a single process (tests)."""
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     with _LOCK:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="vertexframe-checkpoint-"))
@@ -33,11 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets no more rows than this travel to Python at once: texts can be long, and two travel for each pair."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -48,19 +54,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hf_tokenizer(path: str):
-    """The tokenizer of a .json file, once per Python process, without threads of its own."""
+def col(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, added: Iterable[str]) -> list[str]:
+    """The columns of df but for those that clash with added ones (Spark ignores case in names)."""
+    taken = {a.lower() for a in added}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def held(names: Iterable[str]) -> Column:
+    """The columns `names` as one struct: inside it their names clash with nothing.  No names: a field of its own, as no struct is empty."""
+    return F.struct(*([col(c).alias(c) for c in names] or [F.lit(0).alias("_")])).alias(ROW)
+
+
+def released(names: Iterable[str], row: Column | None = None) -> list[Column]:
+    """The columns of a struct that `held` made."""
+    row = F.col(ROW) if row is None else row
+    return [row.getField(c).alias(c) for c in names]
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if a count shows that it is small; df should be cheap to compute twice."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def hf_tokenizer(path: str, *, plain: bool = False):
+    """The tokenizer of a .json file, once per Python process, without threads of its own.
+
+    plain: special strings inside texts are ordinary text (else they are special, the library's default).
+    """
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _TOKENIZERS:
+    if (path, plain) not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _TOKENIZERS[path] = tokenizer
-    return _TOKENIZERS[path]
+        tokenizer.encode_special_tokens = plain
+        _TOKENIZERS[path, plain] = tokenizer
+    return _TOKENIZERS[path, plain]
 
 
 def tokenizer_path(name: str) -> str:
@@ -81,3 +118,33 @@ def raw_values(column: pa.Array) -> Iterator[bytes]:
     valid = column.is_valid().to_pylist() if column.null_count else None
     for i in range(len(column)):
         yield bytes(content[bounds[i] : bounds[i + 1]]) if valid is None or valid[i] else b""
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about `size` bytes of a text column, and at most 512 rows (one text may be larger)."""
+    for batch in batches:
+        lengths = np.array([len(x) for x in raw_values(batch.column(column))], np.int64)
+        begin = 0
+        while begin < batch.num_rows:
+            end = begin + max(1, int(np.searchsorted(np.cumsum(lengths[begin : begin + 512]), size, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def deal(bucket: np.ndarray, records: np.ndarray, buckets: int) -> tuple[pa.Array, pa.Array]:
+    """Records dealt into buckets: (bucket, their bytes), one row for each bucket that is used."""
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    used = np.flatnonzero(np.diff(bounds))
+    return pa.array(used, pa.int64()), pa.array([records[order[bounds[b] : bounds[b + 1]]].tobytes() for b in used], pa.binary())
+
+
+def gather(batches: Iterable[pa.RecordBatch], kind: np.dtype) -> np.ndarray:
+    """The records of all `blob` values."""
+    found = [np.frombuffer(x.as_buffer(), kind) for batch in batches for x in batch.column("blob")]
+    return np.concatenate(found) if found else np.empty(0, kind)
+
+
+def in_parts(records: np.ndarray, size: int, make: Callable[[np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(records), size):
+        yield make(records[k : k + size])

@@ -3,28 +3,41 @@
 Nothing but (node, node) rows is shuffled, no neighbourhood is gathered in one place (minima are
 pre-aggregated), and each round is cut by a checkpoint in the shared folder.  The number of rounds grows
 with the logarithm of the longest chain.
+
+The rows of a node of many neighbours would meet in one task when they are joined with the node's least
+neighbour.  At most 2 * SHARE nodes can have over 1 / SHARE of all edge ends: these few are broadcast to
+wherever their rows lie, and only the other rows are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+SHARE = 500
+
+
+def _with_least(rows: DataFrame, total: int, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows (u, v) for which keep holds, with the least v of their u as m; u and m of each u)."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    many = least.where(F.col("n") > max(16, total // SHARE)).select(F.col("u").alias("w"), F.col("m").alias("h"))
+    marked = rows.join(F.broadcast(many), F.col("u") == F.col("w"), "left")
+    few = marked.where("w IS NULL").where(keep).select("u", "v").join(least.select("u", "m"), "u")
+    return marked.where("w IS NOT NULL").where(keep).select("u", "v", F.col("h").alias("m")).unionByName(few.select("u", "v", "m")), least.select("u", "m")
+
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    moved, _ = _with_least(both, total, F.col("v") > F.col("u"))
+    return moved.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    kept = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
-    return moved.union(kept).distinct()
+    moved, least = _with_least(down, total, F.lit(True))
+    return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -33,10 +46,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Self-loops and repeated edges do no harm; nodes without an edge to another node are not returned.
     """
     now = cut(edges.select("u", "v").where("u <> v").distinct())
-    state = None
-    while True:
-        now = cut(_small_star(_large_star(now)))
-        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    count = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
+    state = now.agg(*count).first()
+    while state[0]:
+        now = cut(_small_star(cut(_large_star(now, state[0]).distinct()), state[0]))
+        found = now.agg(*count).first()
         if found == state:
             break
         state = found

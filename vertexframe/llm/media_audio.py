@@ -3,11 +3,13 @@
 Bytes become the samples of a mu-law or A-law WAV file (8 bits, 8 kHz), or the blocks of an IMA ADPCM
 one, without loss; reading parses the file again.  Decoding expands mu-law and A-law by lookup tables and
 decodes ADPCM with numpy across all blocks of a batch at once (the loop runs over places in a block, never
-over blocks); the samples are resampled by linear interpolation and stored as 16-bit PCM.
+over blocks); the samples are resampled by linear interpolation and stored as 16-bit PCM.  Where no codec is
+named, the payload's checksum picks one of the three, so equal texts are stored alike.
 
 Defined results: a null text counts as empty; an empty payload is padded to one unit; equal texts give
-equal values; repeated rows are kept; an empty table gives an empty result; only the id and text columns
-are read, so other columns (of whatever name) do not matter.
+equal values; repeated rows are kept; an empty table gives an empty result.  store_audio reads the id and
+text columns only; decode_audio passes other columns on as they are, but for those that clash (in upper or
+lower case) with the ones it adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+
+from .common import ROW, col, held, others, raw_values, released, slices
 
 #: Payloads are padded with PAD to a positive multiple of UNIT, which is also the size of an ADPCM block.
 UNIT, PAD, RATE = 192, 32, 8000
 #: Format tags of WAV files (fixed values).
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 0x11}
+CODECS = ("mulaw", "alaw", "adpcm")
 #: The IMA ADPCM index table (fixed values).
 INDEX_STEPS = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 
@@ -57,8 +62,7 @@ TABLES = {"mulaw": mulaw_table(), "alaw": alaw_table()}
 STEPS = ima_steps()
 
 
-def payload_of(text: str | None) -> bytes:
-    raw = (text or "").encode()
+def payload_of(raw: bytes) -> bytes:
     return raw + bytes([PAD]) * (-len(raw) % UNIT if raw else UNIT)
 
 
@@ -113,12 +117,6 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def expand(codec: str, data: bytes | memoryview) -> np.ndarray:
-    """16-bit samples of stored bytes."""
-    raw = np.frombuffer(data, np.uint8)
-    return decode_adpcm(raw.reshape(-1, UNIT)).ravel() if codec == "adpcm" else TABLES[codec][raw]
-
-
 def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation; doubling, the usual case, without a search."""
     if to == rate or not len(samples):
@@ -133,63 +131,64 @@ def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.rint(np.interp(at, np.arange(len(samples)), samples)).astype(np.int16)
 
 
-def store_audio(df: DataFrame, *, codec: str = "mulaw", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def codec_of(payload: bytes) -> str:
+    return CODECS[zlib.crc32(payload) % len(CODECS)]
+
+
+def store_audio(df: DataFrame, *, codec: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and `media`: a WAV file of the padded bytes of each text."""
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = df.select(col(id_col).alias("id"), col(text_col).alias("text"))
     id_type = base.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                texts = part.column("text").to_pylist()
-                sizes = [len((t or "").encode()) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array([wav(payload_of(t), codec) for t in texts], pa.binary())], ["id", "n_bytes", "media"])
+        for part in slices(batches, "text", 1 << 22):
+            payloads = [payload_of(raw) for raw in raw_values(part.column("text"))]
+            sizes = [len(raw) for raw in raw_values(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array([wav(p, codec or codec_of(p)) for p in payloads], pa.binary())], ["id", "n_bytes", "media"])
 
     return base.mapInArrow(run, f"id {id_type}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-def decode_audio(df: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", to_rate: int = 16000, keep_pcm: bool = True) -> DataFrame:
-    """Digests, features and (if wanted) resampled PCM of stored audio, from its stored bytes alone.
+def measure(wave: np.ndarray) -> str:
+    """Mean absolute value, peak and sign changes of samples."""
+    loud = np.abs(wave.astype(np.int32))
+    turns = int(np.count_nonzero((wave[1:] < 0) != (wave[:-1] < 0)))
+    return f"n={len(wave)};mean={int(loud.sum()) // max(1, len(wave))};peak={int(loud.max(initial=0))};turns={turns}"
+
+
+def expand_all(stored: list[tuple[str, memoryview]]) -> list[np.ndarray]:
+    """Samples of each stored file; the ADPCM blocks of all files are decoded at once."""
+    blocks = [np.frombuffer(d, np.uint8).reshape(-1, UNIT) for codec, d in stored if codec == "adpcm"]
+    waves = iter(np.split(decode_adpcm(np.concatenate(blocks)), np.cumsum([len(b) for b in blocks])[:-1]) if blocks else [])
+    return [next(waves).ravel() if codec == "adpcm" else TABLES[codec][np.frombuffer(d, np.uint8)] for codec, d in stored]
+
+
+ADDED = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm")
+
+
+def decode_audio(df: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", to_rate: int = 16000) -> DataFrame:
+    """Digests, features and resampled PCM of stored audio, from its stored bytes alone.
 
-    feature: codec, samples, mean absolute value, peak, sign changes, and the checksums of the resampled
-    PCM and of the payload read as ADPCM blocks.
+    feature: codec, samples, mean absolute value, peak, sign changes, and the checksum of the PCM.
     """
-    others = [c for c in df.columns if c not in (id_col, media_col)]
-    base = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"), *others)
-    types = {f.name: f.dataType.simpleString() for f in base.schema}
-    added = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kept = others(df, (*ADDED, media_col))
+    base = df.select(held(kept), col(media_col).alias("media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
+                out: dict[str, list] = {n: [] for n in ADDED}
                 media = part.column("media").to_pylist()
                 stored = [read_wav(m) for m in media]
-                # ADPCM of the whole batch at once.
-                as_blocks = [np.frombuffer(d, np.uint8)[: len(d) // UNIT * UNIT].reshape(-1, UNIT) for _, d in stored]
-                samples = decode_adpcm(np.concatenate(as_blocks)) if as_blocks else np.empty((0, 1), np.int16)
-                ends = np.cumsum([len(b) for b in as_blocks])
-                out: dict[str, list] = {n: [] for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-                pcm = []
-                for i, (m, (codec, data)) in enumerate(zip(media, stored)):
-                    blocks = samples[ends[i] - len(as_blocks[i]) : ends[i]]
-                    wave = blocks.ravel() if codec == "adpcm" else TABLES[codec][np.frombuffer(data, np.uint8)]
-                    fine = resample(wave, RATE, to_rate)
-                    loud = np.abs(wave.astype(np.int32))
-                    turns = int(np.count_nonzero((wave[1:] < 0) != (wave[:-1] < 0)))
-                    out["payload_bytes"].append(len(data))
-                    out["payload_sha256"].append(hashlib.sha256(data).hexdigest())
-                    out["tail_crc32"].append(zlib.crc32(data[-16:]))
-                    out["media_bytes"].append(len(m))
-                    out["media_sha256"].append(hashlib.sha256(m).hexdigest())
-                    out["feature"].append(f"{codec};n={len(wave)};mean={int(loud.sum()) // max(1, len(wave))};peak={int(loud.max(initial=0))};turns={turns};pcm={zlib.crc32(fine.tobytes()):08x};adpcm={zlib.crc32(blocks.tobytes()):08x}")
-                    pcm.append(fine.tobytes() if keep_pcm else None)
-                columns = [part.column("id"), *(part.column(c) for c in others), *(pa.array(v, pa.string() if n.endswith("sha256") or n == "feature" else pa.int64()) for n, v in out.items())]
-                names = ["id", *others, *out]
-                if keep_pcm:
-                    columns, names = [*columns, pa.array(pcm, pa.binary())], [*names, "pcm"]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = ", ".join([f"id {types['id']}", *(f"`{c}` {types[c]}" for c in others), added, *(["pcm binary"] if keep_pcm else [])])
-    return base.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+                for m, (codec, data), wave in zip(media, stored, expand_all(stored)):
+                    pcm = resample(wave, RATE, to_rate).astype("<i2", copy=False).tobytes()
+                    found = (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"{codec};{measure(wave)};pcm={zlib.crc32(pcm):08x}", pcm)
+                    for n, x in zip(ADDED, found):
+                        out[n].append(x)
+                kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string(), "pcm": pa.binary()}
+                yield pa.RecordBatch.from_arrays([part.column(ROW), *(pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items())], [ROW, *out])
+
+    types = {"payload_sha256": StringType(), "media_sha256": StringType(), "feature": StringType(), "pcm": BinaryType()}
+    schema = StructType([base.schema[ROW], *(StructField(n, types.get(n, LongType())) for n in ADDED)])
+    return base.mapInArrow(run, schema).select(*released(kept), *ADDED)

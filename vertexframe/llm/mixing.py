@@ -11,7 +11,8 @@ are then filtered by comparing hashes with thresholds: nothing is sorted or gath
 
 Defined results: null text has size 0, null source is a source of its own (last), null ids hash as
 'null'; documents of size 0 follow the thresholds with 0 words taken; repeated rows are taken alike; an
-empty table gives an empty result.  Added columns replace input columns of the same names.
+empty table gives an empty result.  Added columns replace input columns of the same names, in upper or lower
+case; all others, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import ROW, col, cut, held, others, released
 
 #: Hexadecimal digits of the hash that each histogram looks at (the last level sees single hash values).
 LEVELS = (3, 4, 8)
@@ -101,22 +102,22 @@ def plan_mix(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most_cop
 
 def mix(df: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most_copies: int = 3, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Every row of df with size, source_size, target, copies (times it is taken) and taken (words)."""
-    kept = [c for c in (df.columns if keep is None else keep) if c not in ADDED]
-    id_hash = F.md5(F.encode(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), "UTF-8"))
-    measured = df.select(*[F.col(f"`{c}`") for c in kept], id_hash.alias("__hash"), F.col(f"`{source_col}`").alias("__source"), words(F.col(f"`{text_col}`")).alias("size"))
-    small = set(kept) <= {id_col, source_col}
-    if small:
-        measured = cut(measured)  # narrow rows: the texts are read once
-    sized = measured.select(F.col("__hash").alias("id_hash"), F.col("__source").alias("source"), "size")
-    if not small:
+    kept = [c for c in others(df, ADDED) if keep is None or c in keep]
+    id_hash = F.md5(F.encode(F.coalesce(col(id_col).cast("string"), F.lit("null")), "UTF-8"))
+    measured = df.select(held(kept), id_hash.alias("id_hash"), col(source_col).alias("source"), words(col(text_col)).alias("size"))
+    narrow = set(kept) <= {id_col, source_col}
+    if narrow:
+        measured = cut(measured)  # the texts are read once
+    sized = measured.select("id_hash", "source", "size")
+    if not narrow:
         sized = cut(sized)
-    thresholds = plan_mix(sized, weights=weights, most_copies=most_copies).withColumnRenamed("source", "__s")
+    thresholds = plan_mix(sized, weights=weights, most_copies=most_copies).withColumnRenamed("source", "s")
     below, start, equal = F.lit(False), 1, F.lit(True)
     for level, digits in enumerate(LEVELS):
-        digit = F.substring("__hash", start, digits)
+        digit = F.substring("id_hash", start, digits)
         below = below | (equal & (digit < F.col(f"t{level}")))
         equal = equal & (digit == F.col(f"t{level}"))
         start += digits
-    joined = measured.join(sent(thresholds), F.col("__source").eqNullSafe(F.col("__s")))
+    joined = measured.join(sent(thresholds), F.col("source").eqNullSafe(F.col("s")))
     copies = F.col("whole") + F.when(below | (equal & F.col("last")), 1).otherwise(0)
-    return joined.withColumn("copies", copies).select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return joined.withColumn("copies", copies).select(*released(kept, F.col(ROW)), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -23,13 +23,14 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _TOKENIZERS
+from .common import _TOKENIZERS, col, slices
 
 END = 1
 #: Penalties, in ids of padding, and the distance of the cuts that ignore sentences.
@@ -37,12 +38,32 @@ SENTENCE, HARD, HARD_STEP = 2, 24, 64
 BLOCK_IDS = 1 << 18
 
 
-def fast_tokenizer(path: str):
-    """(ids of a text, whether each id ends a sentence) for a byte-level BPE file.
+@dataclass(frozen=True)
+class FastTokenizer:
+    """A byte-level BPE vocabulary in the tiktoken library.
 
-    The file's vocabulary runs in the tiktoken library, which gives the ids of the tokenizers library
-    (tests compare them) about four times as fast; special strings count as special, its default.
+    Its ids are those of the tokenizers library (tests compare them), about four times as fast.
     """
+
+    encoding: object
+    special: re.Pattern | None
+    #: Bytes of each id, and whether it ends a sentence.
+    sizes: np.ndarray
+    ends: np.ndarray
+
+    def ids(self, text: str) -> np.ndarray:
+        """Special strings count as special, the tokenizers library's default."""
+        if self.special is not None and self.special.search(text):
+            return np.array(self.encoding.encode(text, allowed_special="all"), np.uint32)
+        return self.encoding.encode_to_numpy(text)
+
+    def plain_ids(self, text: str) -> np.ndarray:
+        """Special strings are ordinary text."""
+        return self.encoding.encode_to_numpy(text, disallowed_special=())
+
+
+def fast_tokenizer(path: str) -> FastTokenizer:
+    """The tokenizer of a byte-level BPE file, once per Python process."""
     if ("fast", path) in _TOKENIZERS:
         return _TOKENIZERS["fast", path]
     import json
@@ -59,16 +80,13 @@ def fast_tokenizer(path: str):
     words = {bytes(back[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
     encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(words, spec["model"]["merges"], back), special_tokens=special)
     found = re.compile("|".join(map(re.escape, special))) if special else None
-    ends = np.zeros(max([*words.values(), *special.values()]) + 1, bool)
+    count = max([*words.values(), *special.values()]) + 1
+    sizes, ends = np.zeros(count, np.int64), np.zeros(count, bool)
+    for w, i in [*words.items(), *((c.encode(), i) for c, i in special.items())]:
+        sizes[i] = len(w)
     ends[[i for w, i in words.items() if w[-1:] in b".!?\n"]] = True
-
-    def ids(text: str) -> np.ndarray:
-        if found is not None and found.search(text):
-            return np.array(encoding.encode(text, allowed_special="all"), np.uint32)
-        return encoding.encode_to_numpy(text)
-
-    _TOKENIZERS["fast", path] = ids, ends
-    return ids, ends
+    _TOKENIZERS["fast", path] = FastTokenizer(encoding, found, sizes, ends)
+    return _TOKENIZERS["fast", path]
 
 
 def _ranks(words: dict[bytes, int], merges: list, back: dict[str, int]) -> dict[bytes, int]:
@@ -177,23 +195,23 @@ def pack_documents(documents: Iterator[tuple[object, np.ndarray]], ends: np.ndar
 
 def pack(df: DataFrame, tokenizer_file: str, *, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
+    base = df.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
     id_type = base.schema["id"].dataType.simpleString()
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize, ends = fast_tokenizer(tokenizer_file)
+        tokenizer = fast_tokenizer(tokenizer_file)
         out: list[tuple] = []
         id_field, part = None, 0
 
         def documents() -> Iterator[tuple]:
             nonlocal id_field, part
-            for batch in batches:
+            for batch in slices(batches, "text", 1 << 22):
                 id_field = batch.schema.field("id").type
                 if batch.num_rows:
                     part = batch.column("part")[0].as_py()
                 for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                    yield key, np.append(tokenize(text), np.uint32(END))
+                    yield key, np.append(tokenizer.ids(text), np.uint32(END))
 
         def table() -> pa.RecordBatch:
             columns = list(zip(*out))
@@ -203,7 +221,7 @@ def pack(df: DataFrame, tokenizer_file: str, *, length: int = 2048, id_col: str
                 arrays.append(pa.array(columns[7], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, ["id", *names, *(["ids"] if with_ids else [])])
 
-        for key, start, ids, total, sequence, offset in pack_documents(documents(), ends, length=length):
+        for key, start, ids, total, sequence, offset in pack_documents(documents(), tokenizer.ends, length=length):
             crc = zlib.crc32(ids.astype("<u4", copy=False).tobytes())
             out.append((key, start, len(ids), crc, total, part << 36 | sequence, offset, ids if with_ids else None))
             if len(out) >= 8192:

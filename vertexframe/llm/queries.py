@@ -53,7 +53,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media_audio.store_audio(table(spark, sf_dir, "documents"))
-    return media_audio.decode_audio(stored, keep_pcm=False)
+    return media_audio.decode_audio(stored)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ estimated cost, found by dynamic programming over partitions on candidate counts
 sample; any choice gives the same links.  Distinct fingerprints are indexed by their partition's bits,
 probed with all values within t_i bits of theirs, and verified by the distance over all 64 bits in the
 join itself.  Components come from star contraction, over links between distinct fingerprints only, so a
-group of equal texts is a single node.
+group of equal texts is a single node; a crowd of near fingerprints is joined by a few links for each
+member first, and then only links between different components are made.
 
 Defined results: null text counts as empty; texts without words are linked with each other and whatever
 is near 0; rows with a null id are components of their own texts like others (null ids never name a
@@ -22,29 +23,27 @@ text columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, raw_values
+from .common import col, cut, deal, gather, in_parts, partitions, raw_values, slices, small
 from .components import connected_components
+from .rolling import mix, shingle_set, similarity
 
 SEED, BITS = 42, 64
 #: Fingerprints that correlations and candidate counts are estimated from.
 SAMPLE = 4000
-#: Candidates of each text that are compared before the rest.
-NEAREST = 4
 #: Cost of a probed key in candidates.
 KEY_COST = 4
 #: Most common shingles, as a sample of texts shows them: at most so many, and in how many texts of the sample.
 MAX_COMMON, MIN_COMMON = 20_000, 4
-#: Texts whose rows are looked up by a broadcast of their ids; more are shuffled.
-FEW = 50_000
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -74,9 +73,8 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :])], "<u8")
 
 
-def fingerprint(text: str | None, size: int) -> int:
-    """Unsigned 64-bit fingerprint of a text."""
-    words = (text or "").encode().lower().split()
+def fingerprint_of(words: list[bytes], size: int) -> int:
+    """Unsigned 64-bit fingerprint of lower-case words."""
     if not words:
         return 0
     hashes = shingle_hashes(words, size)
@@ -84,30 +82,30 @@ def fingerprint(text: str | None, size: int) -> int:
     return int(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted hashes of the set of shingles; a text without words has the one element 0."""
-    words = (text or "").encode().lower().split()
-    return np.unique(shingle_hashes(words, size)) if words else np.zeros(1, np.uint64)
+def fingerprint(text: str | None, size: int) -> int:
+    return fingerprint_of((text or "").encode().lower().split(), size)
 
 
 def prefix(found: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles of a set, common ones last, of which two sets of a Jaccard similarity of `least` share one.
+    """The first shingles of a sorted set, those of the sorted `common` last, of which two sets of a Jaccard similarity of `least` share one.
 
     Such sets share at least `least` of either's elements, so the first shared one in any fixed order has
     no more than 1 - `least` of either set before it.
     """
-    late = np.isin(found, common)
+    if not len(common):
+        return found[: len(found) - ceil(least * len(found) - 1e-9) + 1]
+    late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
     return np.concatenate([found[~late], found[late]])[: len(found) - ceil(least * len(found) - 1e-9) + 1]
 
 
 def fingerprints(df: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp (the 64 bits as a signed long) for each row."""
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = df.select(col(id_col).alias("id"), col(text_col).alias("t"))
     id_type = base.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
+        for batch in slices(batches, "t", 1 << 23):
+            found = np.array([fingerprint_of(raw.lower().split(), shingle) for raw in raw_values(batch.column("t"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
 
     return base.mapInArrow(run, f"id {id_type}, fp long").withColumnRenamed("id", id_col)
@@ -176,148 +174,346 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(distinct: DataFrame, distance: int, *, n: int | None = None) -> DataFrame:
-    """distinct (fp) -> (u, v): each pair u < v of fingerprints that differ in at most `distance` bits."""
-    n = distinct.count() if n is None else n
-    sample = [r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    parts = plan(np.array(sample, np.int64).view(np.uint64), n, distance)
+def _probes(distinct: DataFrame, parts: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+    """(u, part, key) by the bits of each partition; (v, part, key) with all values within its threshold."""
     index = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(_signed(mask)).alias("mask")) for i, (mask, _) in enumerate(parts)])
     flips = []
     for i, (mask, t) in enumerate(parts):
         places = [b for b in range(BITS) if mask >> b & 1]
         for k in range(t + 1):
             flips += [F.struct(F.lit(i).alias("part"), F.lit(_signed(mask)).alias("mask"), F.lit(_signed(sum(1 << b for b in c))).alias("flip")) for c in combinations(places, k)]
-    left = distinct.select(F.col("fp").alias("u"), F.explode(index).alias("p")).select("u", F.col("p.part").alias("part"), F.col("u").bitwiseAND(F.col("p.mask")).alias("key"))
-    right = distinct.select(F.col("fp").alias("v"), F.explode(F.array(*flips)).alias("p")).select(
-        "v", F.col("p.part").alias("part"), F.col("v").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("key")
+    kept = [c for c in distinct.columns if c != "fp"]
+    left = distinct.select(F.col("fp").alias("u"), *kept, F.explode(index).alias("p")).select("u", *kept, F.col("p.part").alias("part"), F.col("u").bitwiseAND(F.col("p.mask")).alias("key"))
+    right = distinct.select(F.col("fp").alias("v"), *kept, F.explode(F.array(*flips)).alias("p")).select(
+        "v", *kept, F.col("p.part").alias("part"), F.col("v").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("key")
     )
+    return left, right
+
+
+def _plan_of(distinct: DataFrame, distance: int, n: int) -> list[tuple[int, int]]:
+    """Partitions and thresholds by a bounded sample: the fingerprints of the least hashes, picked where they lie."""
+    share = max(1, n // SAMPLE)
+    sample = [r.fp for r in distinct.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).select("fp").limit(2 * SAMPLE).collect()]
+    return plan(np.array(sorted(sample), np.int64).view(np.uint64), n, distance)
+
+
+def _near(parts: list[tuple[int, int]], distance: int) -> Column:
+    """Whether u and v are within the distance, for the first partition in which they are (and only there)."""
     apart = F.col("u").bitwiseXOR(F.col("v"))
     near = (F.col("u") < F.col("v")) & (F.bit_count(apart) <= distance)
-    # A pair is made in the first partition in which it is near, and only there.
     for i, (mask, t) in enumerate(parts):
         near = near & ((F.col("l.part") <= i) | (F.bit_count(apart.bitwiseAND(F.lit(_signed(mask)))) > t))
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.part") == F.col("r.part")) & (F.col("l.key") == F.col("r.key")) & near)
+    return near
+
+
+def links(distinct: DataFrame, distance: int, *, n: int | None = None) -> DataFrame:
+    """distinct (fp) -> (u, v): each pair u < v of fingerprints that differ in at most `distance` bits."""
+    n = distinct.count() if n is None else n
+    parts = _plan_of(distinct, distance, n)
+    left, right = _probes(distinct.select("fp"), parts)
+    pairs = left.alias("l").join(right.alias("r"), (F.col("l.part") == F.col("r.part")) & (F.col("l.key") == F.col("r.key")) & _near(parts, distance))
     return pairs.select("u", "v")
 
 
+def first_links(distinct: DataFrame, distance: int) -> DataFrame:
+    """(u, v): of the fingerprints that agree on three quarters of their bits, each with the least, if it is within the distance.
+
+    At most four for each fingerprint, whatever the size of a crowd of near ones.
+    """
+    quarters = F.array(*[F.struct(F.lit(k).alias("part"), F.lit(_signed(~(0xFFFF << 16 * k) & (1 << BITS) - 1)).alias("mask")) for k in range(4)])
+    keyed = distinct.select("fp", F.explode(quarters).alias("p")).select("fp", F.col("p.part").alias("part"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("key"))
+    least = cut(keyed.groupBy("part", "key").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).where("u < most").select("part", "key", "u"))
+    found = keyed.join(small(least), ["part", "key"])
+    return found.select("u", F.col("fp").alias("v")).where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)).distinct()
+
+
+def joining_links(distinct: DataFrame, distance: int) -> DataFrame:
+    """(u, v): links of at most `distance` bits that join all fingerprints that any such links join.
+
+    First each fingerprint's links of first_links, so a crowd becomes one component at the cost of a few
+    links for each member; then all pairs that stand in different components by then.
+    """
+    n = distinct.count()
+    early = cut(first_links(distinct, distance))
+    roots = connected_components(early)
+    rooted = cut(distinct.select("fp").join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    parts = _plan_of(distinct, distance, n)
+    left, right = _probes(rooted, parts)
+    same = (F.col("l.part") == F.col("r.part")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root"))
+    late = left.alias("l").join(right.alias("r"), same & _near(parts, distance)).select("u", "v")
+    return early.union(late)
+
+
 def near_duplicates(df: DataFrame, *, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 hexadecimal digits), component_id (least id reachable) for each row."""
-    marked = cut(fingerprints(df, shingle=shingle, id_col=id_col, text_col=text_col))
-    distinct = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = connected_components(links(distinct.select("fp"), distance))
+    marked = cut(fingerprints(df, shingle=shingle, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id"))
+    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = connected_components(joining_links(distinct.select("fp"), distance))
     members = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = members.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = members.join(named, "root").select("fp", "component_id")
     out = marked.join(classes, "fp")
-    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Of a shingle in the prefix of a text: hash, text, size of the text's set, place in its order (65535: there or later).
+ENTRY = np.dtype([("s", "<u8"), ("key", "<u8"), ("n", "<u4"), ("i", "<u2")])
+ROOTED = np.dtype([("s", "<u8"), ("key", "<u8"), ("n", "<u4"), ("i", "<u2"), ("root", "<u8")])
+PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
+NODE = np.dtype([("key", "<u8"), ("root", "<u8")])
+
+
+def fitting(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the sets of these entries, if they first meet here, can have a Jaccard similarity of `least`."""
+    n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
+    after = np.minimum(n - a["i"], m - b["i"])
+    return after * (1 + least) >= (n + m) * least - 1e-6
+
+
+def prefix_entries(texts: Iterable[bytes], size: int, common: np.ndarray, least: float) -> np.ndarray:
+    """The ENTRYs of the prefixes of some texts, each different text once."""
+    out, seen = [], set()
+    for raw in texts:
+        key = text_key(raw)
+        if key not in seen:
+            seen.add(key)
+            whole = shingle_set(raw, size)
+            first = prefix(whole, common, least)
+            found = np.empty(len(first), ENTRY)
+            found["s"], found["key"], found["n"], found["i"] = first, key, len(whole), np.minimum(np.arange(len(first)), 65535)
+            out.append(found)
+    return np.concatenate(out) if out else np.empty(0, ENTRY)
+
+
+def grouped(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries by shingle and text, each text once and only shingles of two texts or more; bounds of the shingles)."""
+    entries = entries[np.lexsort((entries["key"], entries["s"]))]
+    if len(entries):
+        again = np.concatenate([[False], (entries["s"][1:] == entries["s"][:-1]) & (entries["key"][1:] == entries["key"][:-1])])
+        entries = entries[~again]
+        same = entries["s"][1:] == entries["s"][:-1]
+        entries = entries[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    if not len(entries):
+        return entries, np.zeros(1, np.int64)
+    new = np.flatnonzero(np.concatenate([[True], entries["s"][1:] != entries["s"][:-1]]))
+    return entries, np.append(new, len(entries))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), PAIR)
+    out["a"], out["b"] = np.minimum(a, b), np.maximum(a, b)
+    return np.unique(out)
+
+
+def star_pairs(entries: np.ndarray, bounds: np.ndarray, least: float) -> np.ndarray:
+    """Each text of a shingle with the shingle's first one."""
+    sizes = np.diff(bounds)
+    center, other = np.repeat(bounds[:-1], sizes), np.arange(len(entries))
+    center, other = center[center != other], other[center != other]
+    fits = fitting(entries[center], entries[other], least)
+    return _pairs(entries["key"][center[fits]], entries["key"][other[fits]])
+
+
+def cross_pairs(entries: np.ndarray, bounds: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """All pairs of different roots within a shingle, but for those of star_pairs; texts of one root are never paired."""
+    out, held = [], 0
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        rest = entries[low + 1 : high]
+        if len(rest) < 2 or (rest["root"] == rest["root"][0]).all():
+            continue
+        rest = rest[np.argsort(rest["n"], kind="stable")]
+        # Of a size that allows the similarity: up to n / least.
+        ends = np.searchsorted(rest["n"], np.floor(rest["n"] / least + 1e-6), "right")
+        for k in range(len(rest) - 1):
+            b = rest[k + 1 : ends[k]]
+            b = b[b["root"] != rest["root"][k]]
+            b = b[fitting(np.broadcast_to(rest[k], b.shape), b, least)]
+            if len(b):
+                out.append(_pairs(np.full(len(b), rest["key"][k]), b["key"]))
+                held += len(b)
+        if held > 500_000:
+            yield np.unique(np.concatenate(out))
+            out, held = [], 0
+    if out:
+        yield np.unique(np.concatenate(out))
+
+
+class PrefixJoin:
+    """Pairs of texts whose sets of `size`-word shingles can have a Jaccard similarity of `least`, by an exact prefix filter.
+
+    Two such sets share a shingle of their prefixes; a pair is made at the shingles that both prefixes hold
+    if the sizes and what is left of both sets from there on allow the overlap.  The prefixes' entries
+    travel as packed records dealt out by shingle, equal texts as one.
+    """
+
+    def __init__(self, texts: DataFrame, size: int, common: np.ndarray, least: float, words: int):
+        """texts: t; words: how many words they hold in all (which sets the number of buckets)."""
+        self.least, self.tasks = least, partitions(texts.sparkSession)
+        # Entries of about 32 MB in a bucket.
+        buckets = self.buckets = max(self.tasks, int(words * (1 - least)) * ENTRY.itemsize >> 25)
+        tasks = max(self.tasks, buckets)
+        record = "kind int, bucket long, blob binary"
+
+        def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "t", 1 << 23):
+                yield _dealt(0, prefix_entries(raw_values(batch.column("t")), size, common, least), "s", buckets)
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            entries, bounds = grouped(gather(batches, ENTRY))
+            yield _dealt(0, star_pairs(entries, bounds, least), "a", buckets)
+            # Shingles of two texts are done with; those of more wait for components.
+            yield _dealt(1, entries[np.repeat(np.diff(bounds) > 2, np.diff(bounds))] if len(entries) else entries, "key", buckets)
+
+        self.settled = cut(texts.select("t").mapInArrow(enter, record).repartition(tasks, "bucket").mapInArrow(settle, record))
+        self.parts = tasks
+
+    def first(self) -> DataFrame:
+        """(a, b): each text with the first text of each of its shingles."""
+        return _unique(self.settled.where("kind = 0"), self.parts)
+
+    def rest(self, roots: DataFrame) -> DataFrame:
+        """(a, b): all other pairs of texts of different roots; roots: node, root (texts without a row are their own)."""
+        buckets, least = self.buckets, self.least
+        record = "kind int, bucket long, blob binary"
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = np.empty(batch.num_rows, NODE)
+                found["key"], found["root"] = (batch.column(c).to_numpy().view(np.uint64) for c in ("node", "root"))
+                yield _dealt(2, found, "key", buckets)
+
+        def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            both = list(batches)
+            kinds = [b.filter(pa.compute.equal(b.column("kind"), 1)) for b in both], [b.filter(pa.compute.equal(b.column("kind"), 2)) for b in both]
+            entries, nodes = gather(kinds[0], ENTRY), gather(kinds[1], NODE)
+            nodes = nodes[np.argsort(nodes["key"])]
+            out = np.empty(len(entries), ROOTED)
+            for name in ENTRY.names:
+                out[name] = entries[name]
+            out["root"] = entries["key"]
+            if len(nodes):
+                at = np.minimum(np.searchsorted(nodes["key"], entries["key"]), len(nodes) - 1)
+                known = nodes["key"][at] == entries["key"]
+                out["root"][known] = nodes["root"][at[known]]
+            yield _dealt(0, out, "s", buckets)
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            entries, bounds = grouped(gather(batches, ROOTED))
+            for found in cross_pairs(entries, bounds, least):
+                yield _dealt(0, found, "a", buckets)
+
+        known = self.settled.where("kind = 1").union(roots.select("node", "root").mapInArrow(send, record))
+        rooted = known.repartition(self.parts, "bucket").mapInArrow(attach, record).repartition(self.parts, "bucket").mapInArrow(settle, record)
+        return _unique(rooted, self.parts)
+
+
+def _dealt(kind: int, records: np.ndarray, by: str, buckets: int) -> pa.RecordBatch:
+    bucket, blob = deal((mix(records[by]) % np.uint64(buckets)).astype(np.int64), records, buckets)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(bucket), pa.int32()), bucket, blob], ["kind", "bucket", "blob"])
+
+
+def _unique(blobs: DataFrame, tasks: int) -> DataFrame:
+    """(a, b) of PAIRs that were dealt by a."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.unique(gather(batches, PAIR))
+        yield from in_parts(found, 50_000, lambda p: pa.RecordBatch.from_arrays([pa.array(p["a"].view(np.int64)), pa.array(p["b"].view(np.int64))], ["a", "b"]))
 
-def jaccard(a: bytes, b: bytes, size: int) -> float:
-    """Similarity of the sets of shingles; 1 for two texts without words."""
-    x, y = set(shingles_of(a, size)), set(shingles_of(b, size))
-    return len(x & y) / len(x | y) if x or y else 1.0
+    return blobs.repartition(tasks, "bucket").mapInArrow(run, "a long, b long")
 
 
-def common_shingles(df: DataFrame, size: int, id_col: str, text_col: str) -> np.ndarray:
-    """Hashes of the shingles that occur in MIN_COMMON texts or more of a bounded sample, the most common MAX_COMMON."""
-    sample = df.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text")).orderBy("h").limit(SAMPLE).select("text")
+def text_key(raw: bytes) -> int:
+    """The key of a text as an unsigned number: what F.xxhash64 gives for the string."""
+    import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, size).view(np.int64))], ["s"])
+    return xxhash.xxh64_intdigest(raw, SEED)
 
-    counts = sample.mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= MIN_COMMON)
-    return np.array([r.s for r in counts.orderBy(F.desc("count"), "s").limit(MAX_COMMON).collect()], np.int64).view(np.uint64)
 
+def common_shingles(df: DataFrame, size: int, n: int) -> np.ndarray:
+    """Sorted hashes of the shingles that occur in MIN_COMMON texts or more of a bounded sample of the n texts (t), the most common MAX_COMMON."""
+    sample = df.where(F.pmod(F.xxhash64(F.xxhash64("t")), F.lit(max(1, n // SAMPLE))) == 0)
 
-def alike(sets: DataFrame, least: float) -> DataFrame:
-    """sets (node, root, n, first) -> (a, b): every pair of different roots whose sets can have a Jaccard similarity of `least`.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t", 1 << 22):
+            raws = set(raw_values(batch.column("t")))
+            sets = [shingle_set(raw, size) for raw in raws] or [np.empty(0, np.uint64)]
+            keys = np.repeat(np.array([text_key(raw) for raw in raws], np.uint64), [len(s) for s in sets] if raws else [])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(keys.view(np.int64))], ["s", "key"])
 
-    first: prefix of the set, n: size of the set.  A pair is made at the shingles that both prefixes share,
-    where the sizes and what is left of both sets from there on allow the overlap; at the first shared shingle
-    they allow it for every pair that is similar enough.
-    """
-    rows = sets.select("node", "root", "n", F.posexplode("first").alias("i", "s"))
-    rows = rows.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("s"))).where("texts > 1").drop("texts")
-    l, r = rows.alias("l"), rows.alias("r")
-    both, shorter = F.col("l.n") + F.col("r.n"), F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i"))
-    fits = shorter * (1 + least) >= both * least - 1e-6
-    pairs = l.join(r, (F.col("l.s") == F.col("r.s")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.root") != F.col("r.root")) & fits)
-    return pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+    counts = sample.mapInArrow(run, "s long, key long").distinct().groupBy("s").count().where(F.col("count") >= MIN_COMMON)
+    return np.sort(np.array([r.s for r in counts.orderBy(F.desc("count"), "s").limit(MAX_COMMON).collect()], np.int64).view(np.uint64))
 
 
-def drop_near_copies(df: DataFrame, *, distance: int = 6, shingle: int = 3, verify_words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(df: DataFrame, *, distance: int = 3, shingle: int = 3, verify_words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df but for near copies: of each group the document of the least id stays.
 
     Groups are the components of equal texts and of texts whose sets of `verify_words`-word shingles have a
-    Jaccard similarity of `least` or more, however far their fingerprints are apart.  Only pairs that can
-    still join two groups are compared.  Fingerprints within `distance` bits are a cheap first round (each
-    text with its NEAREST, texts of one fingerprint with the first of them), so a crowd of near copies costs
-    some pairs for each member; then come all pairs of different components that share a shingle of their
-    prefixes (`alike`), which every pair of this similarity does: no link between groups is missed.
-    Rows of a null id stay; fully repeated rows are one document.
+    Jaccard similarity of `least` or more, however far their fingerprints are apart.  Candidates come in two
+    rounds, and each candidate is compared by the whole sets of its texts:
+
+    1. texts of fingerprints that joining_links joins (of one fingerprint, each text with the first one),
+       and each text with the first text of each shingle of its prefix (PrefixJoin): a few pairs for each
+       member of a crowd;
+    2. all other pairs of the prefix filter that stand in different components after round 1.  As every
+       pair of this similarity passes the filter, no link between groups is missed.
+
+    Rows of a null id stay; a null text counts as empty, and texts without words are alike; fully repeated
+    rows are one document and stay or go together; of an id with several texts each text is judged for
+    itself; an empty table gives an empty result; other columns, whatever their names, stay as they are.
     """
-    bounded_batches(df.sparkSession)
-    named = df.where(F.col(id_col).isNotNull())
-    common = common_shingles(named, verify_words, id_col, text_col)
-    prints = _prints(named, shingle, verify_words, least, common, id_col, text_col)
-    texts = cut(prints.groupBy("fp", "key").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("first").alias("first")))
-    reps = cut(texts.groupBy("fp").agg(F.min(F.struct("doc", "key")).alias("rep")).select("fp", "rep.doc", "rep.key"))
-    found = links(reps.select("fp"), distance)
-    first = reps.select(F.col("fp").alias("u"), F.col("doc").alias("a"))
-    second = reps.select(F.col("fp").alias("v"), F.col("doc").alias("b"))
-    across = found.join(first, "u").join(second, "v").select("a", "b", F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("d"))
-    within = texts.select("fp", F.col("doc").alias("b")).join(first.withColumnRenamed("u", "fp"), "fp").where("a <> b").select("a", "b", F.lit(0).alias("d"))
-    pairs = cut(across.unionByName(within))
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "d").union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "d"))
-    content = named.select(F.col(id_col).cast("long").alias("doc"), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("key"), F.col(text_col).alias("t"))
-
-    def bodies_of(nodes: DataFrame, few: bool) -> DataFrame:
-        wanted = texts.select("doc", "key").join(nodes, "doc", "left_semi")
-        return cut(content.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["doc", "key"], "left_semi").select("doc", "t"))
+    named = df.where(col(id_col).isNotNull()).select(col(id_col).cast("long").alias("doc"), F.coalesce(col(text_col), F.lit("")).alias("t"))
+    marked = cut(_prints(named, shingle))
+    texts = cut(marked.groupBy("key").agg(F.min("doc").alias("doc"), F.min_by("md5", F.struct("doc", "md5")).alias("md5"), F.min("fp").alias("fp"), F.max("words").alias("words")))
+    n, words = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    heads = texts.groupBy("fp").agg(F.min("key").alias("head"))
+    found = joining_links(texts.select("fp").distinct(), distance)
+    u, v = heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), heads.select(F.col("fp").alias("v"), F.col("head").alias("b"))
+    across = found.join(u, "u").join(v, "v").select("a", "b")
+    within = texts.select("fp", F.col("key").alias("b")).join(heads.select("fp", F.col("head").alias("a")), "fp").where("a <> b").select("a", "b")
+    join = PrefixJoin(named, verify_words, common_shingles(named, verify_words, n), least, words)
+    edges = _alike(across.union(within).union(join.first()), texts, named, verify_words, least)
+    roots = cut(connected_components(edges))
+    edges = edges.union(_alike(join.rest(roots), texts, named, verify_words, least))
+    roots = connected_components(edges)
+    rooted = texts.join(roots, texts["key"] == roots["node"], "left").select("key", "doc", "md5", F.coalesce("root", "key").alias("root"))
+    best = cut(rooted.groupBy("root").agg(F.min(F.struct("doc", "key")).alias("best")))
+    classes = cut(rooted.join(best, "root").select("key", "md5", F.col("best.doc").alias("stay"), F.col("best.key").alias("as")))
+    # Two texts of one key (a collision of 64 bits) are told apart by their digests: the other one stays.
+    gone = marked.join(classes.withColumnRenamed("md5", "own"), "key").where("md5 = own AND (doc <> stay OR key <> as)").select("doc", "key")
+    lost = small(cut(gone.distinct()))
+    here = F.xxhash64(F.coalesce(df[f"`{text_col}`"], F.lit("")))
+    return df.join(lost, (df[f"`{id_col}`"].cast("long") == lost["doc"]) & (here == lost["key"]), "left_anti")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, named: DataFrame, words: int, least: float) -> DataFrame:
+    """(u, v) of the pairs (a, b) of keys whose texts are similar enough, by their whole sets of shingles."""
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = small(cut(texts.join(needed, "key", "left_semi").select("key", "doc")))
+    bodies = cut(named.withColumn("key", F.xxhash64("t")).join(wanted, ["key", "doc"], "left_semi").select("key", "t").groupBy("key").agg(F.first("t").alias("t")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [jaccard(x, y, verify_words) >= least for x, y in zip(raw_values(batch.column("x")), raw_values(batch.column("y")))]
+        for batch in slices(batches, "x", 1 << 23):
+            good = [similarity(shingle_set(x, words), shingle_set(y, words)) >= least for x, y in zip(raw_values(batch.column("x")), raw_values(batch.column("y")))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    def verified(candidates: DataFrame, bodies: DataFrame) -> DataFrame:
-        left, right = bodies.select(F.col("doc").alias("a"), F.col("t").alias("x")), bodies.select(F.col("doc").alias("b"), F.col("t").alias("y"))
-        return cut(candidates.join(left.hint("shuffle_hash"), "a").join(right.hint("shuffle_hash"), "b").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long"))
-
-    place = Window.partitionBy("x").orderBy("d", "y")
-    nearest = both.withColumn("place", F.row_number().over(place)).where(F.col("place") <= NEAREST)
-    nearest = nearest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    edges = verified(nearest, bodies_of(both.select(F.col("x").alias("doc")).distinct(), False))
-    roots = connected_components(edges).withColumnRenamed("node", "doc")
-    sets = texts.join(roots, "doc", "left").select(F.col("doc").alias("node"), F.coalesce("root", "doc").alias("root"), "n", "first")
-    apart = cut(alike(sets, least))
-    nodes = cut(apart.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
-    roots = connected_components(edges.union(verified(apart, bodies_of(nodes, nodes.count() <= FEW))))
-    lost = roots.where("node <> root").select(F.col("node").alias("doc"))
-    stay = texts.join(lost, "doc", "left_anti").select(F.col("doc").alias("__doc")).distinct()
-    kept = df.withColumn("__doc", F.col(id_col).cast("long"))
-    return kept.join(stay.hint("shuffle_hash"), "__doc", "left_semi").select(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
-
-
-def _prints(df: DataFrame, shingle: int, words: int, least: float, common: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """doc, fp, key (MD5 of the text), n and first (size and prefix of the set of `words`-word shingles)."""
-    base = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    left, right = bodies.select(F.col("key").alias("a"), F.col("t").alias("x")), bodies.select(F.col("key").alias("b"), F.col("t").alias("y"))
+    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long"))
+
+
+def _prints(df: DataFrame, shingle: int) -> DataFrame:
+    """doc, fp, key and md5 of the text, and its number of words; df: doc, t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
-            keys = [hashlib.md5((t or "").encode()).hexdigest() for t in texts]
-            sizes, firsts = [], []
-            for t in texts:
-                whole = shingle_set(t, words)
-                sizes.append(len(whole))
-                firsts.append(prefix(whole, common, least).view(np.int64))
-            columns = [batch.column("id"), pa.array(found.view(np.int64)), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "fp", "key", "n", "first"])
-
-    return base.mapInArrow(run, "doc long, fp long, key string, n long, first array<long>")
+        for batch in slices(batches, "t", 1 << 23):
+            rows = []
+            for raw in raw_values(batch.column("t")):
+                words = raw.lower().split()
+                rows.append((fingerprint_of(words, shingle), text_key(raw), hashlib.md5(raw).digest(), len(words)))
+            fp, key, digest, count = zip(*rows)
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, key)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *longs, pa.array(digest, pa.binary()), pa.array(count, pa.int64())], ["doc", "fp", "key", "md5", "words"])
+
+    return df.mapInArrow(run, "doc long, fp long, key long, md5 binary, words long")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, partitions, raw_values
+from .common import col, cut, partitions, raw_values
 
 #: Bytes of a repeat and of a gram; bytes hashed at once; entries refined at once.
 LENGTH, GRAM, BUFFER, ENTRIES = 100, 32, 1 << 19, 30_000
@@ -259,7 +259,6 @@ def _tie(raw: bytes) -> int:
 def _marked(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """id, text, others (the columns `keep`), whole and cuts: what is repeated, not yet united."""
     spark = df.sparkSession
-    bounded_batches(spark)
     tasks = partitions(spark)
     buckets = 4 * tasks
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("others"))

@@ -8,8 +8,10 @@ k-th best score is above this bound (above, not at: an unseen tie could have a s
 all depths and queries is two matrix products, and the best found so far is carried from block to block of
 a partition, so that most later blocks stop early.
 
-The stated queries are sent to the vectors in blocks of at most about QUERY_BLOCK (a bounded broadcast);
-the partitions' best k are merged by query.
+The stated queries are answered block by block: a block of about QUERY_BLOCK queries (a bounded
+broadcast) goes to all vectors, the partitions' best k are merged by query, and the block's answers are
+written to the shared folder before the next block is read, so neither the driver nor a plan ever holds
+more than one block.
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows with a null id,
 take no part; shorter vectors count as ending in zeros; rows that share the query's id are its own and no
@@ -22,12 +24,15 @@ beyond a long is returned as the nearest long.  Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import col, cut
+
 #: Queries sent at once, vectors of a block, first depth of reading and its growth.
 QUERY_BLOCK, BLOCK, DEPTH, GROWTH = 1024, 4096, 16, 4
 _LONG = (1 << 63) - 1
@@ -96,19 +101,16 @@ def usable(vector: Column) -> Column:
 
 def top_k(df: DataFrame, is_query: Column, *, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), id, score: each query's k highest scores among all other rows."""
-    rows = df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
-    queries = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    count = queries.count()
-    blocks = max(1, -(-count // query_block))
-    parts = None
-    for b in range(blocks):
-        sent = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        local = sorted((r.id, list(r.v)) for r in sent.collect())
-        part = rows.select("id", "v").mapInArrow(_searcher([i for i, _ in local], [v for _, v in local], k, scale), "query_id long, id long, score long")
-        parts = part if parts is None else parts.unionByName(part)
+    rows = df.where(col(id_col).isNotNull() & usable(col(vector_col))).select(col(id_col).cast("long").alias("id"), col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
+    asked = cut(rows.where("q").groupBy("id").agg(F.min("v").alias("v")))
+    blocks = max(1, -(-asked.count() // query_block))
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    ranked = parts.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    answers = []
+    for b in range(blocks):
+        local = sorted((r.id, list(r.v)) for r in asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toLocalIterator())
+        found = rows.select("id", "v").mapInArrow(_searcher([i for i, _ in local], [v for _, v in local], k, scale), "query_id long, id long, score long")
+        answers.append(cut(found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)))
+    return reduce(DataFrame.unionByName, answers).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 def _searcher(query_ids: list[int], query_vectors: list[list[float]], k: int, scale: int):

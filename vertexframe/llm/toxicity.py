@@ -13,7 +13,8 @@ inputs of a score.
 
 Defined results: null and empty texts have no sentences and score 0; conflicting labels of one id count
 as toxic; unlabelled documents are scored like others; with no labelled row, or none of one kind, all
-score 0; repeated rows are kept; other columns do not matter (clashing ones are replaced).
+score 0; repeated rows are kept; of other columns, score and predicted (in upper or lower case) are
+replaced, the rest, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -27,13 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import cut
+from .common import ROW, col, cut, held, others, released, slices
 
 #: Rows to fit on, words of the model, documents that a word must occur in, and the decision threshold.
 MAX_FIT, MAX_WORDS, MIN_DOCS, THRESHOLD = 6000, 2000, 4, 0.3
 #: Standard errors by which a word's log odds must exceed 0.
 MIN_SURE = 3.0
+#: Ridge on the weights, in log likelihood of documents.
+RIDGE = 2e-3
 _PARTS = re.compile(r"[^\W_]+|[.!?\n]+")
 
 
@@ -104,36 +108,50 @@ def choose(seen: dict[str, tuple[int, int]], n: tuple[int, int]) -> list[str]:
     return [w for w in sorted(sure, key=lambda w: (-sure[w], w)) if sure[w] >= MIN_SURE][:MAX_WORDS]
 
 
-def fit(bags: list[dict[tuple[int, ...], int]], labels: list[int], chosen: list[str], *, rounds: int = 300, ridge: float = 2e-3) -> Model:
-    """Weights of words by Adam on the likelihood of the document labels under the noisy-or.
+class Bags:
+    """The likelihood of document labels under the noisy-or of their sentences.
 
     bags: of each document, how many sentences hold which of the chosen words (by place; none: left out).
+    Sentences without any of the words have the fixed chance 0.
     """
-    y = np.array(labels, float)
-    if not chosen or not len(y) or y.min() == y.max():
-        return Model({}, -12.0)
-    rows, columns, owner, times = [], [], [], []
-    for d, bag in enumerate(bags):
-        for found, count in sorted(bag.items()):
-            rows += [len(owner)] * len(found)
-            columns += found
-            owner.append(d)
-            times.append(count)
-    r, c, o, k = np.array(rows, int), np.array(columns, int), np.array(owner, int), np.array(times, float)
-    w, bias = np.zeros(len(chosen)), -6.0
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    for t in range(1, rounds + 1):
-        z = bias + np.bincount(r, w[c], len(o))
+
+    def __init__(self, bags: list[dict[tuple[int, ...], int]], labels: list[int], words: int):
+        self.words, self.y = words, np.array(labels, float)
+        rows, columns, owner, times = [], [], [], []
+        for d, bag in enumerate(bags):
+            for found, count in sorted(bag.items()):
+                rows += [len(owner)] * len(found)
+                columns += found
+                owner.append(d)
+                times.append(count)
+        self.row, self.column, self.owner, self.times = np.array(rows, int), np.array(columns, int), np.array(owner, int), np.array(times, float)
+
+    def loss(self, theta: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+        """Mean negative log likelihood with a ridge on the weights, and its gradient; theta: the weights, then the bias."""
+        w, y, o, k = theta[:-1], self.y, self.owner, self.times
+        z = theta[-1] + np.bincount(self.row, w[self.column], len(o))
         p = _sigmoid(z)
         none = np.bincount(o, -k * np.logaddexp(0, z), len(y))  # log of the chance that no sentence offends
         doc = np.maximum(-np.expm1(none), 1e-9)
         # d loss / d z: p for clean documents, -p (1 - doc) / doc for toxic ones.
-        g = k * p * np.where(y[o] == 1, -np.exp(none[o]) / doc[o], 1.0) / len(y)
-        grad = np.append(np.bincount(c, g[r], len(w)) + ridge * w / len(y), g.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-12)
-        w, bias = w - step[:-1], bias - step[-1]
-    return Model({word: float(x) for word, x in zip(chosen, w) if abs(x) > 1e-3}, float(bias))
+        g = k * p * np.where(y[o] == 1, -np.exp(none[o]) / doc[o], 1.0)
+        gradient = np.append(np.bincount(self.column, g[self.row], self.words) + ridge * w, g.sum())
+        total = -np.where(y == 1, np.log(doc), none).sum() + ridge / 2 * (w @ w)
+        return total / len(y), gradient / len(y)
+
+
+def fit(bags: list[dict[tuple[int, ...], int]], labels: list[int], chosen: list[str], *, rounds: int = 300, ridge: float = RIDGE) -> Model:
+    """Weights of words by Adam on the likelihood of the document labels (see Bags)."""
+    if not chosen or not labels or min(labels) == max(labels):
+        return Model({}, -12.0)
+    task = Bags(bags, labels, len(chosen))
+    theta = np.append(np.zeros(len(chosen)), -6.0)
+    m, v = np.zeros(len(theta)), np.zeros(len(theta))
+    for t in range(1, rounds + 1):
+        gradient = task.loss(theta, ridge)[1]
+        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
+        theta = theta - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-12)
+    return Model({word: float(x) for word, x in zip(chosen, theta) if abs(x) > 1e-3}, float(theta[-1]))
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_fit: int = MAX_FIT) -> Model:
@@ -153,7 +171,7 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         return fit([], [], [])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "t", 1 << 22):
             for label, t in zip(batch.column("label").to_pylist(), batch.column("t").to_pylist()):
                 found = list({m.group() for m in _PARTS.finditer((t or "").lower()) if m.group()[0] not in ".!?\n"})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label] * len(found), pa.int32())], ["w", "label"])
@@ -165,7 +183,7 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     index = {w: i for i, w in enumerate(chosen)}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "t", 1 << 22):
             for k, label, t in zip(batch.column("k"), batch.column("label").to_pylist(), batch.column("t").to_pylist()):
                 bag = Counter(tuple(sorted(index[w] for w in found)) for found in marked_sentences(t or "", index))
                 if bag:
@@ -183,25 +201,25 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def score_documents(df: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with score and predicted."""
-    kept = [c for c in df.columns if c not in ("score", "predicted")]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "score double, predicted int"])
+    kept = others(df, ("score", "predicted"))
+    rows = df.select(held(kept), col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [model.score(t) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [*batch.schema.names, "score", "predicted"])
+        for batch in slices(batches, "t", 1 << 22):
+            scores = [model.score(t) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [ROW, "score", "predicted"])
 
-    return rows.mapInArrow(run, schema)
+    schema = StructType([rows.schema[ROW], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return rows.mapInArrow(run, schema).select(*released(kept), "score", "predicted")
 
 
 def offending_sentences(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, sentence (number from 0), score of the sentences at or above the threshold."""
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = df.select(col(id_col).alias("id"), col(text_col).alias("text"))
     id_type = base.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", 1 << 22):
             hits = [(i, k, s) for i, t in enumerate(batch.column("text").to_pylist()) for k, s in enumerate(model.sentence_scores(t)) if s >= threshold]
             ids = batch.column("id").take(pa.array([h[0] for h in hits], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.float64())], ["id", "sentence", "score"])
