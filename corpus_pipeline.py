@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexframe.llm import mixing, packing, simhash, suffix_dedup, toxicity
-from vertexframe.llm.common import bounded_batches, checkpoint_dir, table, tokenizer_path
+from vertexframe.llm.common import checkpoint_dir, remove_folder, table, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: No SQL states the trained scores, fingerprints and tokenizer that the stages use.
@@ -21,7 +21,6 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted to the labels of these documents, does not find toxic."""
-    bounded_batches(spark)
     model = toxicity.fit_labelled(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs.select(*COLUMNS), model).where("predicted = 0").select(*COLUMNS)
 
@@ -58,9 +57,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; of the written results of the others, only the one that it reads is left."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = f"{checkpoint_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            remove_folder(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
