@@ -266,7 +266,9 @@ def test_suffix_dedup(docs, empty, rows):
     assert cut.columns == ["doc_id", "text", "lang", "spans"] and cut.count() == len(rows)
 
 
-def test_suffix_dedup_random(spark):
+@pytest.mark.parametrize("common", [4096, 1])
+def test_suffix_dedup_random(spark, monkeypatch, common):
+    monkeypatch.setattr(suffix_dedup, "COMMON", common)
     rng = random.Random(8)
     alphabet = "ab"
     stock = ["".join(rng.choice(alphabet) for _ in range(rng.randint(40, 260))) for _ in range(12)]
@@ -278,6 +280,37 @@ def test_suffix_dedup_random(spark):
     check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows)
 
 
+def test_interleave_gives_the_suffix_order():
+    """Order, common prefixes and intervals against plain sorting, for shards of several sizes."""
+    rng = random.Random(17)
+    for _ in range(40):
+        made = []
+        for shard in range(rng.randint(1, 4)):
+            e = np.zeros(rng.randint(1, 30), suffix_dedup.CONTEXT)
+            for x in e:
+                x["a"], x["nr"] = rng.randint(1, 3), rng.choice([suffix_dedup.SIDE, suffix_dedup.SIDE, rng.randint(0, 5)])
+                x["right"][: x["nr"]] = [rng.choice([1, 1, 1, 1, 2]) for _ in range(x["nr"])]
+                x["doc"] = rng.randint(0, 10**6)
+            made.append(suffix_dedup.transform(e))
+        entries = np.concatenate(made)
+        shard = np.repeat(np.arange(len(made)), [len(x) for x in made])
+        start = np.lexsort((np.arange(len(entries)), shard, entries["a"]))
+        order, prefix = suffix_dedup.interleave(entries["a"], start, entries["right"], entries["nr"])
+
+        def common(x, y):
+            n = min(x["nr"], y["nr"])
+            same = next((k for k in range(n) if x["right"][k] != y["right"][k]), n)
+            return -1 if x["a"] != y["a"] else same
+
+        assert sorted(order.tolist()) == list(range(len(entries)))
+        assert prefix.tolist() == [-1, *(common(entries[a], entries[b]) for a, b in zip(order, order[1:]))]
+        for depth in (0, 1, 3, suffix_dedup.SIDE):
+            found = suffix_dedup.intervals(order, prefix, depth)
+            for i, j in combinations(range(len(entries)), 2):
+                long = min(entries["nr"][i], entries["nr"][j]) >= depth
+                assert not long or (found[i] == found[j]) == (common(entries[i], entries[j]) >= depth)
+
+
 def test_long_texts_in_pieces(monkeypatch, spark):
     monkeypatch.setattr(suffix_dedup, "BUFFER", 2048)
     monkeypatch.setattr(suffix_dedup, "ENTRIES", 50)
@@ -501,7 +534,7 @@ def test_simhash(spark, docs, empty, rows):
         found = Counter((r.u, r.v) for r in simhash.links(spark.createDataFrame(signed, "fp long"), distance).collect())
         want = {(a[0], b[0]) for a in signed for b in signed if a < b and bin((a[0] ^ b[0]) & (2**64 - 1)).count("1") <= distance}
         assert set(found) == want and set(found.values()) == {1}
-        joined = {(r.u, r.v) for r in simhash.joining_links(spark.createDataFrame(signed, "fp long"), distance).collect()}
+        joined = {(r.u, r.v) for r in simhash.joining_links(spark.createDataFrame(signed, "fp long").selectExpr("fp", "fp AS name"), distance).collect()}
         assert joined <= want and components_of(joined) == components_of(want)
     out = simhash.near_duplicates(docs).collect()
     fps = [(r[0], brute_fingerprint(r[1], 3)) for r in rows]

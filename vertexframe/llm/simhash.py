@@ -40,6 +40,8 @@ from .rolling import mix, shingle_set, similarity
 SEED, BITS = 42, 64
 #: Fingerprints that correlations and candidate counts are estimated from.
 SAMPLE = 4000
+#: Near texts that each text is compared with before all the rest.
+NEAREST = 4
 #: Cost of a probed key in candidates.
 KEY_COST = 4
 #: Most common shingles, as a sample of texts shows them: at most so many, and in how many texts of the sample.
@@ -216,31 +218,34 @@ def links(distinct: DataFrame, distance: int, *, n: int | None = None) -> DataFr
 
 
 def first_links(distinct: DataFrame, distance: int) -> DataFrame:
-    """(u, v): of the fingerprints that agree on three quarters of their bits, each with the least, if it is within the distance.
+    """distinct (fp, name) -> (u, v, a, b): of the fingerprints that agree on three quarters of their bits, each (v, of name b)
+    with the least (u, of name a), if it is within the distance.
 
     At most four for each fingerprint, whatever the size of a crowd of near ones.
     """
     quarters = F.array(*[F.struct(F.lit(k).alias("part"), F.lit(_signed(~(0xFFFF << 16 * k) & (1 << BITS) - 1)).alias("mask")) for k in range(4)])
-    keyed = distinct.select("fp", F.explode(quarters).alias("p")).select("fp", F.col("p.part").alias("part"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("key"))
-    least = cut(keyed.groupBy("part", "key").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).where("u < most").select("part", "key", "u"))
-    found = keyed.join(small(least), ["part", "key"])
-    return found.select("u", F.col("fp").alias("v")).where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)).distinct()
+    keyed = distinct.select("fp", "name", F.explode(quarters).alias("p")).select("fp", "name", F.col("p.part").alias("part"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("key"))
+    least = keyed.groupBy("part", "key").agg(F.min(F.struct("fp", "name")).alias("x"), F.max("fp").alias("most")).where("x.fp < most")
+    found = keyed.join(small(cut(least.select("part", "key", F.col("x.fp").alias("u"), F.col("x.name").alias("a")))), ["part", "key"])
+    near = found.where((F.col("u") < F.col("fp")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("fp"))) <= distance))
+    return near.select("u", F.col("fp").alias("v"), "a", F.col("name").alias("b")).distinct()
 
 
 def joining_links(distinct: DataFrame, distance: int) -> DataFrame:
-    """(u, v): links of at most `distance` bits that join all fingerprints that any such links join.
+    """distinct (fp, name) -> (u, v, a, b): links of at most `distance` bits, and the names of their ends, that join all
+    fingerprints that any such links join.
 
     First each fingerprint's links of first_links, so a crowd becomes one component at the cost of a few
     links for each member; then all pairs that stand in different components by then.
     """
     n = distinct.count()
     early = cut(first_links(distinct, distance))
-    roots = connected_components(early)
-    rooted = cut(distinct.select("fp").join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    roots = connected_components(early.select("u", "v"))
+    rooted = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "name", F.coalesce("root", "fp").alias("root")))
     parts = _plan_of(distinct, distance, n)
     left, right = _probes(rooted, parts)
     same = (F.col("l.part") == F.col("r.part")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root"))
-    late = left.alias("l").join(right.alias("r"), same & _near(parts, distance)).select("u", "v")
+    late = left.alias("l").join(right.alias("r"), same & _near(parts, distance)).select("u", "v", F.col("l.name").alias("a"), F.col("r.name").alias("b"))
     return early.union(late)
 
 
@@ -248,7 +253,7 @@ def near_duplicates(df: DataFrame, *, distance: int = 3, shingle: int = 3, id_co
     """id, fingerprint (16 hexadecimal digits), component_id (least id reachable) for each row."""
     marked = cut(fingerprints(df, shingle=shingle, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id"))
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(joining_links(distinct.select("fp"), distance))
+    roots = connected_components(joining_links(distinct.select("fp", F.col("fp").alias("name")), distance).select("u", "v"))
     members = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = members.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = members.join(named, "root").select("fp", "component_id")
@@ -258,9 +263,17 @@ def near_duplicates(df: DataFrame, *, distance: int = 3, shingle: int = 3, id_co
 
 #: Of a shingle in the prefix of a text: hash, text, size of the text's set, place in its order (65535: there or later).
 ENTRY = np.dtype([("s", "<u8"), ("key", "<u8"), ("n", "<u4"), ("i", "<u2")])
-ROOTED = np.dtype([("s", "<u8"), ("key", "<u8"), ("n", "<u4"), ("i", "<u2"), ("root", "<u8")])
-PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
-NODE = np.dtype([("key", "<u8"), ("root", "<u8")])
+#: The same with the fingerprint and the component of the text.
+ROOTED = np.dtype([*ENTRY.descr, ("fp", "<u8"), ("root", "<u8")])
+NODE = np.dtype([("key", "<u8"), ("fp", "<u8"), ("root", "<u8")])
+#: A text and one that may be near it, by bits of their fingerprints.
+NEAR = np.dtype([("a", "<u8"), ("b", "<u8"), ("bits", "u1")])
+#: A pair of texts, the sizes of their sets, and how many shingles their prefixes share.
+SHARED = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("m", "<u4"), ("count", "<u4")])
+#: Neighbours on either side that are looked at in each order of fingerprints, and bits by which these are rotated.
+WINDOW, TURNS = 6, (0, 16, 32, 48)
+#: Pairs that a task makes before it counts and sends them.
+PAIRS_AT_ONCE = 2_000_000
 
 
 def fitting(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -299,127 +312,210 @@ def grouped(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entries, np.append(new, len(entries))
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty(len(a), PAIR)
-    out["a"], out["b"] = np.minimum(a, b), np.maximum(a, b)
-    return np.unique(out)
+def _starts(entries: np.ndarray, name: str) -> np.ndarray:
+    """Whether an entry begins a new run of this field."""
+    return np.concatenate([[True], entries[name][1:] != entries[name][:-1]]) if len(entries) else np.zeros(0, bool)
 
 
-def star_pairs(entries: np.ndarray, bounds: np.ndarray, least: float) -> np.ndarray:
-    """Each text of a shingle with the shingle's first one."""
+def several_roots(entries: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same without shingles whose texts are all of one root."""
+    if not len(entries):
+        return entries, bounds
     sizes = np.diff(bounds)
-    center, other = np.repeat(bounds[:-1], sizes), np.arange(len(entries))
-    center, other = center[center != other], other[center != other]
-    fits = fitting(entries[center], entries[other], least)
-    return _pairs(entries["key"][center[fits]], entries["key"][other[fits]])
-
-
-def cross_pairs(entries: np.ndarray, bounds: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """All pairs of different roots within a shingle, but for those of star_pairs; texts of one root are never paired."""
-    out, held = [], 0
-    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        rest = entries[low + 1 : high]
-        if len(rest) < 2 or (rest["root"] == rest["root"][0]).all():
-            continue
-        rest = rest[np.argsort(rest["n"], kind="stable")]
-        # Of a size that allows the similarity: up to n / least.
-        ends = np.searchsorted(rest["n"], np.floor(rest["n"] / least + 1e-6), "right")
-        for k in range(len(rest) - 1):
-            b = rest[k + 1 : ends[k]]
-            b = b[b["root"] != rest["root"][k]]
-            b = b[fitting(np.broadcast_to(rest[k], b.shape), b, least)]
-            if len(b):
-                out.append(_pairs(np.full(len(b), rest["key"][k]), b["key"]))
-                held += len(b)
-        if held > 500_000:
-            yield np.unique(np.concatenate(out))
-            out, held = [], 0
-    if out:
-        yield np.unique(np.concatenate(out))
+    apart = np.minimum.reduceat(entries["root"], bounds[:-1]) != np.maximum.reduceat(entries["root"], bounds[:-1])
+    return entries[np.repeat(apart, sizes)], np.concatenate([[0], np.cumsum(sizes[apart])])
+
+
+def sizes_fit(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    return np.minimum(n, m) >= least * np.maximum(n, m) - 1e-6
+
+
+def best(found: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest of each text, from NEARs."""
+    found = np.unique(found)
+    found = found[np.lexsort((found["b"], found["bits"], found["a"]))]
+    starts = np.flatnonzero(_starts(found, "a"))
+    return found[np.arange(len(found)) - np.repeat(starts, np.diff(np.append(starts, len(found)))) < k]
+
+
+def nearest(entries: np.ndarray, least: float, k: int) -> np.ndarray:
+    """For each text up to k texts of other roots that share a shingle with it, by bits of their fingerprints.
+
+    Neighbours in the orders of the rotated fingerprints are looked at, so the cost is in proportion to the
+    entries; it is a first choice only.
+    """
+    out = [np.empty(0, NEAR)]
+    for turn in TURNS:
+        turned = entries["fp"] << np.uint64(turn) | entries["fp"] >> np.uint64(64 - turn) if turn else entries["fp"]
+        rows = entries[np.lexsort((turned, entries["s"]))]
+        for step in range(1, min(WINDOW + 1, len(rows))):
+            x, y = rows[:-step], rows[step:]
+            good = (x["s"] == y["s"]) & (x["root"] != y["root"])
+            x, y = x[good], y[good]
+            good = fitting(x, y, least) & sizes_fit(x["n"], y["n"], least)
+            x, y = x[good], y[good]
+            for a, b in ((x, y), (y, x)):
+                near = np.empty(len(a), NEAR)
+                near["a"], near["b"], near["bits"] = a["key"], b["key"], np.bitwise_count(a["fp"] ^ b["fp"])
+                out.append(near)
+        out = [best(np.concatenate(out), k)]
+    return out[0]
+
+
+def shared(entries: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """SHAREDs of all pairs of texts of different roots that share a shingle, if their sizes fit; counts are of these entries."""
+    entries = entries[np.lexsort((entries["root"], entries["s"]))]
+    if not len(entries):
+        return
+    at = np.arange(len(entries))
+    group = np.maximum.accumulate(np.where(_starts(entries, "s"), at, 0))
+    run = np.maximum.accumulate(np.where(_starts(entries, "s") | _starts(entries, "root"), at, 0))
+    # Each entry with those of its shingle that stand before the run of its root.
+    total = np.concatenate([[0], np.cumsum(run - group)])
+    out, held, k = [], 0, 0
+    while k < len(entries):
+        end = max(k + 1, int(np.searchsorted(total, total[k] + PAIRS_AT_ONCE, "right")) - 1)
+        counts = run[k:end] - group[k:end]
+        mine = np.repeat(at[k:end], counts)
+        theirs = np.arange(len(mine)) - np.repeat(total[k:end] - total[k], counts) + group[mine]
+        x, y = entries[mine], entries[theirs]
+        good = sizes_fit(x["n"], y["n"], least)
+        x, y = x[good], y[good]
+        swap = x["key"] > y["key"]
+        found = np.empty(len(x), SHARED)
+        found["a"], found["b"] = np.where(swap, y["key"], x["key"]), np.where(swap, x["key"], y["key"])
+        found["n"], found["m"], found["count"] = np.where(swap, y["n"], x["n"]), np.where(swap, x["n"], y["n"]), 1
+        out.append(found)
+        held, k = held + len(found), end
+        if held > PAIRS_AT_ONCE:
+            out = [counted(np.concatenate(out))]
+            held = len(out[0])
+            if held > PAIRS_AT_ONCE // 2:
+                yield out[0]
+                out, held = [], 0
+    if held:
+        yield counted(np.concatenate(out))
+
+
+def counted(found: np.ndarray) -> np.ndarray:
+    """SHAREDs with the counts of each pair summed up."""
+    found = found[np.lexsort((found["b"], found["a"]))]
+    starts = np.flatnonzero(_starts(found, "a") | _starts(found, "b"))
+    out = found[starts]
+    out["count"] = np.add.reduceat(found["count"], starts) if len(starts) else 0
+    return out
+
+
+def enough(found: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets whose prefixes share so many shingles can have a Jaccard similarity of `least`.
+
+    Of the set whose prefix ends first in the common order, all shared elements up to there are in both
+    prefixes, so the overlap is at most their count and what this set has after its prefix.
+    """
+    n, m = found["n"].astype(np.int64), found["m"].astype(np.int64)
+    after = np.maximum(*(np.ceil(least * x - 1e-9).astype(np.int64) - 1 for x in (n, m)))
+    return (found["count"] + after) * (1 + least) >= (n + m) * least - 1e-6
 
 
 class PrefixJoin:
     """Pairs of texts whose sets of `size`-word shingles can have a Jaccard similarity of `least`, by an exact prefix filter.
 
-    Two such sets share a shingle of their prefixes; a pair is made at the shingles that both prefixes hold
-    if the sizes and what is left of both sets from there on allow the overlap.  The prefixes' entries
-    travel as packed records dealt out by shingle, equal texts as one.
+    Two such sets share a shingle of their prefixes, and more of them the longer they are.  The prefixes'
+    entries travel as packed records dealt out by shingle, equal texts as one; shingles of one text end there.
     """
 
     def __init__(self, texts: DataFrame, size: int, common: np.ndarray, least: float, words: int):
         """texts: t; words: how many words they hold in all (which sets the number of buckets)."""
-        self.least, self.tasks = least, partitions(texts.sparkSession)
+        tasks = partitions(texts.sparkSession)
         # Entries of about 32 MB in a bucket.
-        buckets = self.buckets = max(self.tasks, int(words * (1 - least)) * ENTRY.itemsize >> 25)
-        tasks = max(self.tasks, buckets)
-        record = "kind int, bucket long, blob binary"
+        self.least, buckets = least, max(tasks, int(words * (1 - least)) * ENTRY.itemsize >> 25)
+        self.buckets, self.tasks = buckets, max(tasks, buckets)
 
         def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "t", 1 << 23):
-                yield _dealt(0, prefix_entries(raw_values(batch.column("t")), size, common, least), "s", buckets)
+                yield _dealt(1, prefix_entries(raw_values(batch.column("t")), size, common, least), "s", buckets)
 
         def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            entries, bounds = grouped(gather(batches, ENTRY))
-            yield _dealt(0, star_pairs(entries, bounds, least), "a", buckets)
-            # Shingles of two texts are done with; those of more wait for components.
-            yield _dealt(1, entries[np.repeat(np.diff(bounds) > 2, np.diff(bounds))] if len(entries) else entries, "key", buckets)
+            yield _dealt(1, grouped(gather(batches, ENTRY))[0], "key", buckets)
 
-        self.settled = cut(texts.select("t").mapInArrow(enter, record).repartition(tasks, "bucket").mapInArrow(settle, record))
-        self.parts = tasks
+        self.settled = cut(texts.select("t").mapInArrow(enter, RECORD).repartition(self.tasks, "bucket").mapInArrow(settle, RECORD))
 
-    def first(self) -> DataFrame:
-        """(a, b): each text with the first text of each of its shingles."""
-        return _unique(self.settled.where("kind = 0"), self.parts)
-
-    def rest(self, roots: DataFrame) -> DataFrame:
-        """(a, b): all other pairs of texts of different roots; roots: node, root (texts without a row are their own)."""
-        buckets, least = self.buckets, self.least
-        record = "kind int, bucket long, blob binary"
+    def _rooted(self, nodes: DataFrame) -> DataFrame:
+        """The settled entries, dealt by shingle, with fp and root of their texts; nodes: key, fp, root."""
+        buckets = self.buckets
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = np.empty(batch.num_rows, NODE)
-                found["key"], found["root"] = (batch.column(c).to_numpy().view(np.uint64) for c in ("node", "root"))
+                for name in NODE.names:
+                    found[name] = batch.column(name).to_numpy().view(np.uint64)
                 yield _dealt(2, found, "key", buckets)
 
         def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = list(batches)
-            kinds = [b.filter(pa.compute.equal(b.column("kind"), 1)) for b in both], [b.filter(pa.compute.equal(b.column("kind"), 2)) for b in both]
-            entries, nodes = gather(kinds[0], ENTRY), gather(kinds[1], NODE)
-            nodes = nodes[np.argsort(nodes["key"])]
-            out = np.empty(len(entries), ROOTED)
+            entries, known = (gather([b.filter(pa.compute.equal(b.column("kind"), kind)) for b in both], of) for kind, of in ((1, ENTRY), (2, NODE)))
+            if len(entries):
+                known = known[np.argsort(known["key"])]
+                out = np.empty(len(entries), ROOTED)
+                at = np.searchsorted(known["key"], entries["key"])
+                for name in ROOTED.names:
+                    out[name] = entries[name] if name in ENTRY.names else known[name][at]
+                yield _dealt(1, out, "s", buckets)
+
+        return self.settled.union(nodes.select(*NODE.names).mapInArrow(send, RECORD)).repartition(self.tasks, "bucket").mapInArrow(attach, RECORD).repartition(self.tasks, "bucket")
+
+    def near(self, nodes: DataFrame, k: int) -> DataFrame:
+        """(a, b): up to k near texts of other roots for each text; from here on, shingles of one root are left out."""
+        buckets, least = self.buckets, self.least
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            entries, _ = several_roots(*grouped(gather(batches, ROOTED)))
+            yield _dealt(0, nearest(entries, least, k), "a", buckets)
+            rest = np.empty(len(entries), ENTRY)
             for name in ENTRY.names:
-                out[name] = entries[name]
-            out["root"] = entries["key"]
-            if len(nodes):
-                at = np.minimum(np.searchsorted(nodes["key"], entries["key"]), len(nodes) - 1)
-                known = nodes["key"][at] == entries["key"]
-                out["root"][known] = nodes["root"][at[known]]
-            yield _dealt(0, out, "s", buckets)
+                rest[name] = entries[name]
+            yield _dealt(1, rest, "key", buckets)
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from _rows(best(gather(batches, NEAR), k))
+
+        found = cut(self._rooted(nodes).mapInArrow(settle, RECORD))
+        self.settled = found.where("kind = 1")
+        return found.where("kind = 0").repartition(self.tasks, "bucket").mapInArrow(choose, "a long, b long")
+
+    def rest(self, nodes: DataFrame, k: int | None = None) -> DataFrame:
+        """(a, b): all pairs of texts of different roots that can be similar enough; with k: for each text the k that share most."""
+        buckets, least = self.buckets, self.least
 
         def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            entries, bounds = grouped(gather(batches, ROOTED))
-            for found in cross_pairs(entries, bounds, least):
+            for found in shared(several_roots(*grouped(gather(batches, ROOTED)))[0], least):
                 yield _dealt(0, found, "a", buckets)
+                if k is not None:
+                    found["a"], found["b"], found["n"], found["m"] = (found[c].copy() for c in ("b", "a", "m", "n"))
+                    yield _dealt(0, found, "a", buckets)
 
-        known = self.settled.where("kind = 1").union(roots.select("node", "root").mapInArrow(send, record))
-        rooted = known.repartition(self.parts, "bucket").mapInArrow(attach, record).repartition(self.parts, "bucket").mapInArrow(settle, record)
-        return _unique(rooted, self.parts)
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = counted(gather(batches, SHARED))
+            found = found[enough(found, least)]
+            if k is not None:
+                found = found[np.lexsort((found["b"], -found["count"].astype(np.int64), found["a"]))]
+                starts = np.flatnonzero(_starts(found, "a"))
+                found = found[np.arange(len(found)) - np.repeat(starts, np.diff(np.append(starts, len(found)))) < k]
+            yield from _rows(found)
 
+        return self._rooted(nodes).mapInArrow(settle, RECORD).repartition(self.tasks, "bucket").mapInArrow(choose, "a long, b long")
 
-def _dealt(kind: int, records: np.ndarray, by: str, buckets: int) -> pa.RecordBatch:
-    bucket, blob = deal((mix(records[by]) % np.uint64(buckets)).astype(np.int64), records, buckets)
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(bucket), pa.int32()), bucket, blob], ["kind", "bucket", "blob"])
 
+RECORD = "kind int, bucket long, blob binary"
 
-def _unique(blobs: DataFrame, tasks: int) -> DataFrame:
-    """(a, b) of PAIRs that were dealt by a."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.unique(gather(batches, PAIR))
-        yield from in_parts(found, 50_000, lambda p: pa.RecordBatch.from_arrays([pa.array(p["a"].view(np.int64)), pa.array(p["b"].view(np.int64))], ["a", "b"]))
+def _rows(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    return in_parts(found, 50_000, lambda p: pa.RecordBatch.from_arrays([pa.array(p[c].astype(np.uint64).view(np.int64)) for c in "ab"], ["a", "b"]))
+
 
-    return blobs.repartition(tasks, "bucket").mapInArrow(run, "a long, b long")
+def _dealt(kind: int, records: np.ndarray, by: str, buckets: int) -> pa.RecordBatch:
+    bucket, blob = deal((mix(records[by]) % np.uint64(buckets)).astype(np.int64), records, buckets)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(bucket), pa.int32()), bucket, blob], ["kind", "bucket", "blob"])
 
 
 def text_key(raw: bytes) -> int:
@@ -448,14 +544,15 @@ def drop_near_copies(df: DataFrame, *, distance: int = 3, shingle: int = 3, veri
     """The rows of df but for near copies: of each group the document of the least id stays.
 
     Groups are the components of equal texts and of texts whose sets of `verify_words`-word shingles have a
-    Jaccard similarity of `least` or more, however far their fingerprints are apart.  Candidates come in two
+    Jaccard similarity of `least` or more, however far their fingerprints are apart.  Candidates come in three
     rounds, and each candidate is compared by the whole sets of its texts:
 
-    1. texts of fingerprints that joining_links joins (of one fingerprint, each text with the first one),
-       and each text with the first text of each shingle of its prefix (PrefixJoin): a few pairs for each
-       member of a crowd;
-    2. all other pairs of the prefix filter that stand in different components after round 1.  As every
-       pair of this similarity passes the filter, no link between groups is missed.
+    1. texts of fingerprints that joining_links joins (of one fingerprint, each text with the first one);
+    2. of the texts that share a shingle of their prefixes (PrefixJoin) and stand in different components,
+       for each text the NEAREST by their fingerprints, and then the NEAREST by shared shingles of their
+       prefixes: a few pairs for each member of a crowd;
+    3. all pairs of the prefix filter that stand in different components by then.  As every pair of this
+       similarity passes the filter, no link between groups is missed.
 
     Rows of a null id stay; a null text counts as empty, and texts without words are alike; fully repeated
     rows are one document and stay or go together; of an id with several texts each text is judged for
@@ -465,15 +562,16 @@ def drop_near_copies(df: DataFrame, *, distance: int = 3, shingle: int = 3, veri
     marked = cut(_prints(named, shingle))
     texts = cut(marked.groupBy("key").agg(F.min("doc").alias("doc"), F.min_by("md5", F.struct("doc", "md5")).alias("md5"), F.min("fp").alias("fp"), F.max("words").alias("words")))
     n, words = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    heads = texts.groupBy("fp").agg(F.min("key").alias("head"))
-    found = joining_links(texts.select("fp").distinct(), distance)
-    u, v = heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), heads.select(F.col("fp").alias("v"), F.col("head").alias("b"))
-    across = found.join(u, "u").join(v, "v").select("a", "b")
-    within = texts.select("fp", F.col("key").alias("b")).join(heads.select("fp", F.col("head").alias("a")), "fp").where("a <> b").select("a", "b")
+    heads = cut(texts.groupBy("fp").agg(F.min("key").alias("name")))
+    across = joining_links(heads, distance).select("a", "b")
+    within = texts.select("fp", F.col("key").alias("b")).join(heads, "fp").where("name <> b").select(F.col("name").alias("a"), "b")
     join = PrefixJoin(named, verify_words, common_shingles(named, verify_words, n), least, words)
-    edges = _alike(across.union(within).union(join.first()), texts, named, verify_words, least)
-    roots = cut(connected_components(edges))
-    edges = edges.union(_alike(join.rest(roots), texts, named, verify_words, least))
+    compared, edges = _alike(across.union(within), None, texts, named, verify_words, least)
+    for later in (join.near, join.rest, lambda nodes, k: join.rest(nodes, 4 * k), lambda nodes, _: join.rest(nodes)):
+        roots = connected_components(edges)
+        nodes = cut(texts.join(roots, texts["key"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "key").alias("root")))
+        more, found = _alike(later(nodes, NEAREST), compared, texts, named, verify_words, least)
+        compared, edges = compared.union(more), edges.union(found)
     roots = connected_components(edges)
     rooted = texts.join(roots, texts["key"] == roots["node"], "left").select("key", "doc", "md5", F.coalesce("root", "key").alias("root"))
     best = cut(rooted.groupBy("root").agg(F.min(F.struct("doc", "key")).alias("best")))
@@ -485,9 +583,10 @@ def drop_near_copies(df: DataFrame, *, distance: int = 3, shingle: int = 3, veri
     return df.join(lost, (df[f"`{id_col}`"].cast("long") == lost["doc"]) & (here == lost["key"]), "left_anti")
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, named: DataFrame, words: int, least: float) -> DataFrame:
-    """(u, v) of the pairs (a, b) of keys whose texts are similar enough, by their whole sets of shingles."""
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def _alike(pairs: DataFrame, known: DataFrame | None, texts: DataFrame, named: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs (a, b) of keys that are not known: all, and (u, v) of those whose texts are similar enough, by their whole sets of shingles."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = cut(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = small(cut(texts.join(needed, "key", "left_semi").select("key", "doc")))
     bodies = cut(named.withColumn("key", F.xxhash64("t")).join(wanted, ["key", "doc"], "left_semi").select("key", "t").groupBy("key").agg(F.first("t").alias("t")))
@@ -498,7 +597,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, named: DataFrame, words: int, lea
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     left, right = bodies.select(F.col("key").alias("a"), F.col("t").alias("x")), bodies.select(F.col("key").alias("b"), F.col("t").alias("y"))
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long"))
+    return pairs, cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long"))
 
 
 def _prints(df: DataFrame, shingle: int) -> DataFrame:

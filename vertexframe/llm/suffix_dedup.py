@@ -9,16 +9,20 @@ prefix occurs twice matter.  So the work is anchored first and sorted after.
 2. Equal contexts.  Occurrences of a gram with equal contexts are wholly repeated but for the first of
    them.  (Exact copies and the inside of repeated passages end here, whatever their number; batches send
    only their first of each, and mark the rest at once.)
-3. Different contexts of one gram, the edges of repeats.  Every batch is a shard with its anchored
-   suffixes in their order; the shards' Burrows-Wheeler columns (the bytes that precede, and mirrored,
-   that follow) are merged by iterative interleave refinement: all shards start as one block per gram,
-   and each round reads one more byte per entry in the order so far and parts the interleave by it,
-   stably.  After j rounds a block is a repeated interval of common prefix j; entries are never sorted
-   anew.  Left intervals of depth j and right intervals of depth LENGTH - GRAM - j together give the groups
-   of equal windows; all but the first of each are repeated.
+3. Different contexts of one gram, the edges of repeats.  Every batch is a shard: it sorts its anchored
+   suffixes once, by gram and what follows (and, mirrored, by what precedes), and ships the bytes on both
+   sides in that order, its transform.  Merging begins with all shards' suffixes of a gram one shard after
+   the other; each round of the interleave refinement reads one more byte through the interleave and parts
+   it by that byte, stably, so suffixes are never sorted anew; what stands alone is left out of later
+   rounds.  The round in which two neighbours part is their common prefix, and repeated intervals of
+   prefix j are the runs between common prefixes below j.  Left intervals of depth j and right intervals of
+   depth LENGTH - GRAM - j together give the groups of equal windows; all but the first of each are repeated.
+   The contexts of a gram with more than COMMON of them are dealt out twice, with half of either side: equal
+   windows agree on half of the left or half of the right side.
 4. Spans are gathered by document, united and cut out.
 
-Windows are compared by their bytes in step 3, by 64-bit hashes of their contexts in step 2.
+Windows are compared by their bytes in step 3, by the 64-bit hash of the gram together with that of the
+context in step 2.  The number of buckets follows the bytes of text, and buckets are worked on one by one.
 
 Defined results: null text counts as empty; texts shorter than LENGTH bytes stay whole; documents are
 ordered by id (null first), those of one id by a hash of their text; fully repeated rows are the same place
@@ -36,8 +40,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import col, cut, partitions, raw_values
+from .common import col, cut, deal, held, partitions, raw_values, released
+from .rolling import mix, prefix_sums, tables
 
 #: Bytes of a repeat and of a gram; bytes hashed at once; entries refined at once.
 LENGTH, GRAM, BUFFER, ENTRIES = 100, 32, 1 << 19, 30_000
@@ -45,36 +51,22 @@ LENGTH, GRAM, BUFFER, ENTRIES = 100, 32, 1 << 19, 30_000
 BATCH = 1 << 24
 SIDE = LENGTH - GRAM
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
+#: Different contexts of one gram beyond which they are dealt out by half a side; bytes of text for each task.
+COMMON, TASK_BYTES = 4096, 1 << 26
+HALF = SIDE // 2
+#: Whether all depths count, or only those of at most (right) or at least (left) HALF bytes on the left.
+WHOLE, RIGHT, LEFT = 0, 1, 2
 PLACE = np.dtype([("a", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("at", "<u8")])
-CONTEXT = np.dtype([("a", "<u8"), ("doc", "<i8"), ("at", "<u8"), ("nl", "u1"), ("nr", "u1"), ("left", "u1", SIDE), ("right", "u1", SIDE)])
-_TABLES: dict = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random value for each byte, and powers of the base and of its inverse, for buffers of n bytes."""
-    if _TABLES.get("n", 0) < n:
-        size = max(n, BUFFER + 4096)
-        up, down = np.full(size, _BASE, _U), np.full(size, pow(_BASE, -1, 1 << 64), _U)
-        up[0] = down[0] = 1
-        _TABLES.update(n=size, values=np.random.default_rng(7).integers(0, 2**64, 256, dtype=_U), up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _TABLES["values"], _TABLES["up"], _TABLES["down"]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
-
-
+#: rank: place of the suffix in its shard by what precedes it.
+CONTEXT = np.dtype([("a", "<u8"), ("doc", "<i8"), ("at", "<u8"), ("part", "u1"), ("rank", "<u4"), ("nl", "u1"), ("nr", "u1"), ("left", "u1", SIDE), ("right", "u1", SIDE)])
 def anchors(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of texts buffer[start:end] (in order, together the buffer): text number, place, gram hash, context hash."""
     n = len(buffer)
     if n < LENGTH:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, _U),) * 2
-    values, up, down = _tables(n + 1)
-    prefix = np.zeros(n + 1, _U)
-    np.cumsum(values[buffer] * up[:n], out=prefix[1:])
-    gram = _mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1])
+    down = tables(n + 1)[2]
+    prefix = prefix_sums(buffer)
+    gram = mix((prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1])
     # The place in the low bits makes the leftmost of equal hashes the least.
     key = gram >> _U(24) << _U(24) | np.arange(len(gram), dtype=_U)
     width = SIDE + 1
@@ -90,7 +82,7 @@ def anchors(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     text = np.searchsorted(ends, place, "right")
     low, high = np.maximum(starts[text], place - SIDE), np.minimum(ends[text], place + LENGTH)
     sides = ((place - low) * 256 + (high - place)).astype(_U)
-    return text, place, gram[place], _mix((prefix[high] - prefix[low]) * down[low] + _mix(sides))
+    return text, place, gram[place], mix((prefix[high] - prefix[low]) * down[low] + mix(sides))
 
 
 def places_of(docs: list[tuple[int, int, bytes]]) -> np.ndarray:
@@ -151,19 +143,20 @@ def first_of_contexts(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[keep], np.concatenate([[True], ~same])[keep]
 
 
-def resolve(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places with a repeated context, first places whose gram has other contexts)."""
+def resolve(places: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places with a repeated context, first places whose gram has other contexts, whether it has over `limit`)."""
     order = np.argsort(places["a"], kind="stable")
     a = places["a"][order]
     again = np.concatenate([[False], a[1:] == a[:-1]]) if len(a) else np.zeros(0, bool)
     again[:-1] |= again[1:]
     places, first = first_of_contexts(places[order[again]])
     if not len(places):
-        return places, places
+        return places, places, np.zeros(0, bool)
     new = np.concatenate([[True], places["a"][1:] != places["a"][:-1]])
     gram = np.cumsum(new) - 1
     contexts = np.bincount(gram, first)
-    return places[~first], places[first & (contexts[gram] > 1)]
+    edge = first & (contexts[gram] > 1)
+    return places[~first], places[edge], contexts[gram[edge]] > limit
 
 
 def contexts_of(raw: bytes, doc: int, tie: int, places: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -178,46 +171,97 @@ def contexts_of(raw: bytes, doc: int, tie: int, places: np.ndarray, grams: np.nd
     return out
 
 
-def _intervals(block: np.ndarray, order: np.ndarray, columns: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Interleave refinement: row j holds, for each entry, the number of its interval of common prefix j."""
+def halved(entries: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Entries, those of common grams twice: by the gram and half of the right side, and by half of the left side."""
+    out = [entries[~common]]
+    for part, side in ((RIGHT, "right"), (LEFT, "left")):
+        found = entries[common]
+        powers = tables(HALF)[1][:HALF]
+        found["a"] = mix(found["a"] + (found[side][:, :HALF].astype(_U) + _U(part)) @ (powers * _U(part * 2 + 1)))
+        found["part"] = part
+        out.append(found)
+    return np.concatenate(out)
+
+
+def _words(side: np.ndarray) -> list[np.ndarray]:
+    """Keys for lexsort, the last the most significant: the bytes, eight at a time."""
+    padded = np.zeros((len(side), -(-SIDE // 8) * 8), np.uint8)
+    padded[:, :SIDE] = side
+    return list(padded.view(">u8").astype(_U).T[::-1])
+
+
+def transform(entries: np.ndarray) -> np.ndarray:
+    """A shard's entries in the order of gram and what follows; rank: their order by gram and what precedes."""
+    entries = entries[np.lexsort([*_words(entries["right"]), entries["a"]])]
+    entries["rank"][np.lexsort([*_words(entries["left"]), entries["a"]])] = np.arange(len(entries))
+    return entries
+
+
+def interleave(grams: np.ndarray, order: np.ndarray, side: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merges sorted shards: order holds their entries gram by gram, and shard by shard within a gram.
+
+    (entries in the merged order, common bytes of each with the one before it; -1: of another gram).
+    """
+    order = order.copy()
     m = len(order)
-    out = np.empty((SIDE + 1, m), np.int32)
-    out[0, order] = block
+    prefix = np.where(np.concatenate([[True], grams[order][1:] != grams[order][:-1]]), -1, SIDE)
+    block = np.cumsum(prefix < 0)
+    active = np.arange(m)
     for j in range(SIDE):
-        byte, ended = columns[j, order], sizes[order] <= j
-        moved = np.argsort(byte, kind="stable")
-        order, byte, block, ended = order[moved], byte[moved], block[moved], ended[moved]
-        parted = np.ones(m, bool)
-        parted[1:] = (byte[1:] != byte[:-1]) | (block[1:] != block[:-1]) | ended[1:] | ended[:-1]
-        block = np.cumsum(parted, dtype=np.int32) - 1
-        out[j + 1, order] = block
+        # Blocks of one entry are done with.
+        inside = block[active]
+        same = np.concatenate([[False], inside[1:] == inside[:-1]]) if len(active) else np.zeros(0, bool)
+        active = active[same | np.append(same[1:], False)] if len(active) else active
+        if not len(active):
+            break
+        inside, entry = block[active], order[active]
+        ended = sizes[entry] <= j
+        # An entry that has ended is alone from here on.
+        byte = np.where(ended, 256 + np.arange(len(active)), side[entry, j].astype(np.int64))
+        moved = np.lexsort((byte, inside))
+        order[active], byte = entry[moved], byte[moved]
+        parted = np.concatenate([[False], (inside[1:] == inside[:-1]) & (byte[1:] != byte[:-1])])
+        prefix[active[parted]] = j
+        # Numbers within a block only ever grow by parting it: they stay in the order of places.
+        first = np.concatenate([[True], (inside[1:] != inside[:-1]) | (byte[1:] != byte[:-1])])
+        block[active] = (m + 1) * (j + 1) + np.cumsum(first)
+    return order, prefix
+
+
+def intervals(order: np.ndarray, prefix: np.ndarray, depth: int) -> np.ndarray:
+    """For each entry, the number of its interval of entries with that many common bytes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(prefix < depth)
     return out
 
 
-def merge_shards(entries: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """entries: CONTEXTs of whole grams, shard after shard.  (doc, tie, begin, end) of the repeated bytes."""
+def merge_shards(shards: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """shards: transforms (of whole grams).  (doc, tie, begin, end) of the repeated bytes."""
     out: list[tuple[int, int, int, int]] = []
-    entries = entries[np.lexsort((entries["at"], entries["doc"]))]
-    grams, number = np.unique(entries["a"], return_inverse=True)
-    order = np.argsort(number, kind="stable")
-    sizes = np.bincount(number, minlength=len(grams))
+    entries = np.concatenate(shards)
+    shard = np.repeat(np.arange(len(shards)), [len(x) for x in shards])
+    _, once = np.unique(entries[["a", "doc", "at"]], return_index=True)
+    if len(once) < len(entries):  # fully repeated rows are one place
+        once.sort()
+        entries, shard = entries[once], shard[once]
+    # Gram by gram, in the order of documents within it.
+    by_place = np.lexsort((entries["at"], entries["doc"], entries["a"]))
+    entries, shard, sent = entries[by_place], shard[by_place], by_place
+    sizes = np.diff(np.flatnonzero(np.concatenate([[True], entries["a"][1:] != entries["a"][:-1], [True]])))
     # Whole grams, about ENTRIES entries at a time.
     cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // ENTRIES, prepend=-1))
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     for k, g in enumerate(cuts):
         low, high = bounds[g], bounds[cuts[k + 1]] if k + 1 < len(cuts) else len(entries)
-        picked = np.sort(order[low:high])
-        part, block = entries[picked], number[picked]
-        start = np.argsort(block, kind="stable")
-        m = len(part)
-        dense = np.cumsum(np.concatenate([[0], block[start][1:] != block[start][:-1]])).astype(np.int32)
-        left = _intervals(dense, start, np.ascontiguousarray(part["left"].T), part["nl"])
-        right = _intervals(dense, start, np.ascontiguousarray(part["right"].T), part["nr"])
+        part, of, m = entries[low:high], shard[low:high], high - low
+        right = interleave(part["a"], np.lexsort((sent[low:high], of, part["a"])), part["right"], part["nr"])
+        left = interleave(part["a"], np.lexsort((part["rank"], of, part["a"])), part["left"], part["nl"])
         first_at, last_at = np.full(m, 1 << 30), np.full(m, -1)
         for j in range(SIDE + 1):
-            l, r = left[j], right[SIDE - j]
-            usable = np.flatnonzero((part["nl"] >= j) & (part["nr"] >= SIDE - j) & (np.bincount(l, minlength=m)[l] > 1) & (np.bincount(r, minlength=m)[r] > 1))
-            key = l[usable].astype(np.int64) * m + r[usable]
+            l, r = intervals(*left, j), intervals(*right, SIDE - j)
+            wanted = (part["part"] == WHOLE) | (part["part"] == (RIGHT if j <= HALF else LEFT)) | (part["part"] == LEFT) & (j == HALF)
+            usable = np.flatnonzero(wanted & (part["nl"] >= j) & (part["nr"] >= SIDE - j) & (np.bincount(l, minlength=m + 1)[l] > 1) & (np.bincount(r, minlength=m + 1)[r] > 1))
+            key = l[usable] * (m + 1) + r[usable]
             found = np.argsort(key, kind="stable")
             key = key[found]
             repeated = usable[found[1:][key[1:] == key[:-1]]]
@@ -244,12 +288,23 @@ def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _blobs(records: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Records dealt into buckets by gram, one row for each bucket."""
-    bucket = (_mix(records["a"]) % _U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    used = np.flatnonzero(np.diff(bounds))
-    return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([records[order[bounds[b] : bounds[b + 1]]].tobytes() for b in used], pa.binary())], ["bucket", "blob"])
+    """Records dealt into buckets by gram, in their order, one row for each bucket."""
+    bucket, blob = deal((mix(records["a"]) % _U(buckets)).astype(np.int64), records, buckets)
+    return pa.RecordBatch.from_arrays([bucket, blob], ["bucket", "blob"])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[list[np.ndarray]]:
+    """The blobs of one bucket after the other; rows come sorted by bucket."""
+    current, blobs = None, []
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
+            if blobs and bucket != current:
+                yield blobs
+                blobs = []
+            current = bucket
+            blobs.append(np.frombuffer(blob.as_buffer(), kind))
+    if blobs:
+        yield blobs
 
 
 def _tie(raw: bytes) -> int:
@@ -258,44 +313,42 @@ def _tie(raw: bytes) -> int:
 
 def _marked(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """id, text, others (the columns `keep`), whole and cuts: what is repeated, not yet united."""
-    spark = df.sparkSession
-    tasks = partitions(spark)
-    buckets = 4 * tasks
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("others"))
+    size = df.agg(F.coalesce(F.sum(F.octet_length(col(text_col))), F.lit(0))).first()[0]
+    tasks = max(partitions(df.sparkSession), size // TASK_BYTES)
+    buckets, limit = 4 * tasks, COMMON
+    docs = df.select(col(id_col).cast("long").alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"), held(keep).alias("others"))
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list = []
-        held = 0
+        size = 0
         for batch in batches:
             for doc, raw in zip(batch.column("id").to_pylist(), raw_values(batch.column("text"))):
                 waiting.append((doc if doc is not None else -(1 << 63), _tie(raw), raw))
-                held += len(raw)
-                if held >= BATCH:
+                size += len(raw)
+                if size >= BATCH:
                     yield _blobs(_combined(waiting), buckets)
-                    waiting, held = [], 0
+                    waiting, size = [], 0
         if waiting:
             yield _blobs(_combined(waiting), buckets)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [np.frombuffer(x.as_buffer(), PLACE) for batch in batches for x in batch.column("blob")]
-        if not blobs:
-            return
-        places = np.concatenate(blobs)
-        del blobs
-        known = places["c"] == 0  # marked by its batch
-        whole, edge = resolve(places[~known])
-        whole = np.concatenate([whole, places[known]])
-        for part, kind in ((whole, 0), (edge, 1)):
-            for k in range(0, len(part), 50_000):
-                p = part[k : k + 50_000]
-                gram = pa.array(p["a"].view(np.int64)) if kind else pa.nulls(len(p), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(p["doc"]), pa.array((p["at"] >> _U(32)).astype(np.int64)), pa.array((p["at"] & _U(0xFFFFFFFF)).astype(np.int32)), gram], ["doc", "tie", "place", "gram"])
-
-    marks = docs.select("id", "text").mapInArrow(anchor, "bucket long, blob binary").repartition(tasks, "bucket").mapInArrow(settle, "doc long, tie long, place int, gram long")
+        for blobs in _by_bucket(batches, PLACE):
+            places = np.concatenate(blobs)
+            known = places["c"] == 0  # marked by its batch
+            whole, edge, common = resolve(places[~known], limit)
+            whole = np.concatenate([whole, places[known]])
+            for part, kind in ((whole, None), (edge, common)):
+                for k in range(0, len(part), 50_000):
+                    p = part[k : k + 50_000]
+                    gram = pa.nulls(len(p), pa.int64()) if kind is None else pa.array(p["a"].view(np.int64))
+                    many = pa.nulls(len(p), pa.bool_()) if kind is None else pa.array(kind[k : k + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(p["doc"]), pa.array((p["at"] >> _U(32)).astype(np.int64)), pa.array((p["at"] & _U(0xFFFFFFFF)).astype(np.int32)), gram, many], ["doc", "tie", "place", "gram", "common"])
+
+    marks = docs.select("id", "text").mapInArrow(anchor, "bucket long, blob binary").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "doc long, tie long, place int, gram long, common boolean")
     edge = F.col("gram").isNotNull()
     by_doc = cut(
         marks.groupBy("doc", "tie").agg(
-            F.collect_list(F.when(~edge, F.col("place"))).alias("whole"), F.collect_list(F.when(edge, F.col("place"))).alias("edge"), F.collect_list("gram").alias("grams")
+            F.collect_list(F.when(~edge, F.col("place"))).alias("whole"), F.collect_list(F.when(edge, F.col("place"))).alias("edge"), F.collect_list("gram").alias("grams"), F.collect_list("common").alias("commons")
         )
     )
     # Keys that cannot be null: else one use of `found` would filter nulls and shuffle the texts on its own.
@@ -304,36 +357,32 @@ def _marked(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) ->
     found = keyed.join(by_doc.hint("shuffle_hash"), ["doc", "tie"], "left")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, count = [], 0
         for batch in batches:
             for i, (doc, tie, raw) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("tie").to_pylist(), raw_values(batch.column("text")))):
                 places = batch.column("edge")[i].values.to_numpy().astype(np.int64)
                 grams = batch.column("grams")[i].values.to_numpy().view(_U)
                 order = np.argsort(grams, kind="stable")
-                parts.append(contexts_of(raw, doc, tie, places[order], grams[order]))
-                held += len(places)
-                if held >= 40_000:
-                    yield _blobs(np.concatenate(parts), buckets)
-                    parts, held = [], 0
+                commons = batch.column("commons")[i].values.to_numpy(zero_copy_only=False).astype(bool)
+                found = contexts_of(raw, doc, tie, places[order], grams[order])
+                parts.append(halved(found, commons[order]) if commons.any() else found)
+                count += len(places)
+                if count >= 40_000:
+                    yield _blobs(transform(np.concatenate(parts)), buckets)
+                    parts, count = [], 0
         if parts:
-            yield _blobs(np.concatenate(parts), buckets)
+            yield _blobs(transform(np.concatenate(parts)), buckets)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [np.frombuffer(x.as_buffer(), CONTEXT) for batch in batches for x in batch.column("blob")]
-        if not blobs:
-            return
-        entries = np.concatenate(blobs)
-        del blobs
-        # Fully repeated rows are one place.
-        _, once = np.unique(entries[["a", "doc", "at"]], return_index=True)
-        spans = merge_shards(entries[np.sort(once)] if len(once) < len(entries) else entries)
-        for k in range(0, len(spans), 50_000):
-            columns = list(zip(*spans[k : k + 50_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], ["doc", "tie", "begin", "end"])
+        for shards in _by_bucket(batches, CONTEXT):
+            spans = merge_shards(shards)
+            for k in range(0, len(spans), 50_000):
+                columns = list(zip(*spans[k : k + 50_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], ["doc", "tie", "begin", "end"])
 
     # All columns of `found`, so that both uses of it share its exchanges.
     edged = found.where(F.size("edge") > 0)
-    spans = edged.mapInArrow(edges, "bucket long, blob binary").repartition(tasks, "bucket").mapInArrow(merge, "doc long, tie long, begin int, end int")
+    spans = edged.mapInArrow(edges, "bucket long, blob binary").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "doc long, tie long, begin int, end int")
     cuts = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
     return found.join(cuts.hint("shuffle_hash"), ["doc", "tie"], "left")
 
@@ -378,8 +427,8 @@ def cut_texts(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             out = [kept_bytes(raw, cuts).decode(errors="ignore") for raw, cuts in _spans_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string()), batch.column("others")], ["id", "text", "others"])
 
-    out = marked.mapInArrow(run, f"id long, text string, others {marked.schema['others'].dataType.simpleString()}")
-    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *[F.col(f"others.`{c}`").alias(c) for c in keep])
+    out = marked.mapInArrow(run, StructType([StructField("id", LongType()), StructField("text", StringType()), marked.schema["others"]]))
+    return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), *released(keep, F.col("others")))
 
 
 def _combined(docs: list[tuple[int, int, bytes]]) -> np.ndarray:
@@ -389,7 +438,7 @@ def _combined(docs: list[tuple[int, int, bytes]]) -> np.ndarray:
     places["c"] |= _U(1)  # 0 is taken by marks
     later = ~first
     places["c"][later] = 0
-    places["a"][later] = _mix(places["at"][later] * _U(31) + places["doc"][later].view(_U))  # spread
+    places["a"][later] = mix(places["at"][later] * _U(31) + places["doc"][later].view(_U))  # spread
     return places
 
 
