@@ -40,18 +40,31 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """edges (u, v) of any orderable integers -> (node, root): root is the least node reachable.
-
-    Self-loops and repeated edges do no harm; nodes without an edge to another node are not returned.
-    """
+def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges (u, v) that join the same nodes: with no number of rounds, each node with the least that it can reach."""
     now = cut(edges.select("u", "v").where("u <> v").distinct())
     count = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
     state = now.agg(*count).first()
-    while state[0]:
-        now = cut(_small_star(cut(_large_star(now, state[0]).distinct()), state[0]))
-        found = now.agg(*count).first()
+    done = 0
+    while state[0] and done != rounds:
+        now = cut(_small_star(_large_star(now, state[0]), state[0]))
+        found, done = now.agg(*count).first(), done + 1
         if found == state:
             break
         state = found
-    return now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root")))).alias("e")).select("e.node", "e.root").distinct()
+    return now
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """Contracted edges -> (node, root): its least neighbour or itself.  Equal roots mean one component; if contraction
+    stopped early, a component may have several."""
+    both = edges.select(F.explode(F.array(F.struct(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root")), F.struct(F.least("u", "v").alias("node"), F.least("u", "v").alias("root")))).alias("e"))
+    return both.groupBy("e.node").agg(F.min("e.root").alias("root"))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """edges (u, v) of any orderable integers -> (node, root): root is the least node reachable.
+
+    Self-loops and repeated edges do no harm; nodes without an edge to another node are not returned.
+    """
+    return roots(contracted(edges))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, cut, deal, gather, in_parts, partitions, raw_values, slices, small
-from .components import connected_components
+from .components import connected_components, contracted, roots
 from .rolling import mix, shingle_set, similarity
 
 SEED, BITS = 42, 64
@@ -240,8 +240,8 @@ def joining_links(distinct: DataFrame, distance: int) -> DataFrame:
     """
     n = distinct.count()
     early = cut(first_links(distinct, distance))
-    roots = connected_components(early.select("u", "v"))
-    rooted = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "name", F.coalesce("root", "fp").alias("root")))
+    found = roots(contracted(early.select("u", "v"), 1))
+    rooted = cut(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "name", F.coalesce("root", "fp").alias("root")))
     parts = _plan_of(distinct, distance, n)
     left, right = _probes(rooted, parts)
     same = (F.col("l.part") == F.col("r.part")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root"))
@@ -253,8 +253,8 @@ def near_duplicates(df: DataFrame, *, distance: int = 3, shingle: int = 3, id_co
     """id, fingerprint (16 hexadecimal digits), component_id (least id reachable) for each row."""
     marked = cut(fingerprints(df, shingle=shingle, id_col=id_col, text_col=text_col).withColumnRenamed(id_col, "id"))
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(joining_links(distinct.select("fp", F.col("fp").alias("name")), distance).select("u", "v"))
-    members = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    known = connected_components(joining_links(distinct.select("fp", F.col("fp").alias("name")), distance).select("u", "v"))
+    members = distinct.join(known, distinct["fp"] == known["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = members.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = members.join(named, "root").select("fp", "component_id")
     out = marked.join(classes, "fp")
@@ -490,20 +490,28 @@ class PrefixJoin:
         def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for found in shared(several_roots(*grouped(gather(batches, ROOTED)))[0], least):
                 yield _dealt(0, found, "a", buckets)
-                if k is not None:
-                    found["a"], found["b"], found["n"], found["m"] = (found[c].copy() for c in ("b", "a", "m", "n"))
-                    yield _dealt(0, found, "a", buckets)
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = counted(gather(batches, SHARED))
             found = found[enough(found, least)]
-            if k is not None:
-                found = found[np.lexsort((found["b"], -found["count"].astype(np.int64), found["a"]))]
-                starts = np.flatnonzero(_starts(found, "a"))
-                found = found[np.arange(len(found)) - np.repeat(starts, np.diff(np.append(starts, len(found)))) < k]
-            yield from _rows(found)
-
-        return self._rooted(nodes).mapInArrow(settle, RECORD).repartition(self.tasks, "bucket").mapInArrow(choose, "a long, b long")
+            if k is None:
+                yield from _rows(found)
+                return
+            # Each end chooses among its pairs.
+            turned = found.copy()
+            turned["a"], turned["b"] = found["b"], found["a"]
+            yield _dealt(0, np.concatenate([found, turned]), "a", buckets)
+
+        def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = gather(batches, SHARED)
+            found = found[np.lexsort((found["b"], -found["count"].astype(np.int64), found["a"]))]
+            starts = np.flatnonzero(_starts(found, "a"))
+            yield from _rows(found[np.arange(len(found)) - np.repeat(starts, np.diff(np.append(starts, len(found)))) < k])
+
+        pairs = self._rooted(nodes).mapInArrow(settle, RECORD).repartition(self.tasks, "bucket")
+        if k is None:
+            return pairs.mapInArrow(choose, "a long, b long")
+        return pairs.mapInArrow(choose, RECORD).repartition(self.tasks, "bucket").mapInArrow(most, "a long, b long")
 
 
 RECORD = "kind int, bucket long, blob binary"
@@ -547,12 +555,13 @@ def drop_near_copies(df: DataFrame, *, distance: int = 3, shingle: int = 3, veri
     Jaccard similarity of `least` or more, however far their fingerprints are apart.  Candidates come in three
     rounds, and each candidate is compared by the whole sets of its texts:
 
-    1. texts of fingerprints that joining_links joins (of one fingerprint, each text with the first one);
-    2. of the texts that share a shingle of their prefixes (PrefixJoin) and stand in different components,
-       for each text the NEAREST by their fingerprints, and then the NEAREST by shared shingles of their
-       prefixes: a few pairs for each member of a crowd;
+    1. texts of fingerprints that joining_links joins (of one fingerprint, each text with the first one), and
+       of the texts that share a shingle of their prefixes (PrefixJoin) the NEAREST by their fingerprints;
+    2. for each text more of the nearest of other components by their fingerprints, and then those of other
+       components whose prefixes share most with its own;
     3. all pairs of the prefix filter that stand in different components by then.  As every pair of this
-       similarity passes the filter, no link between groups is missed.
+       similarity passes the filter, no link between groups is missed; rounds 1 and 2 cost a few pairs for
+       each member of a crowd, and leave few to the last.
 
     Rows of a null id stay; a null text counts as empty, and texts without words are alike; fully repeated
     rows are one document and stay or go together; of an id with several texts each text is judged for
@@ -566,14 +575,18 @@ def drop_near_copies(df: DataFrame, *, distance: int = 3, shingle: int = 3, veri
     across = joining_links(heads, distance).select("a", "b")
     within = texts.select("fp", F.col("key").alias("b")).join(heads, "fp").where("name <> b").select(F.col("name").alias("a"), "b")
     join = PrefixJoin(named, verify_words, common_shingles(named, verify_words, n), least, words)
-    compared, edges = _alike(across.union(within), None, texts, named, verify_words, least)
-    for later in (join.near, join.rest, lambda nodes, k: join.rest(nodes, 4 * k), lambda nodes, _: join.rest(nodes)):
-        roots = connected_components(edges)
-        nodes = cut(texts.join(roots, texts["key"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "key").alias("root")))
-        more, found = _alike(later(nodes, NEAREST), compared, texts, named, verify_words, least)
+    nodes = texts.select("key", "fp", F.col("key").alias("root"))
+    first = across.union(within).union(join.near(nodes, NEAREST))
+    compared, edges = _alike(first, None, texts, named, verify_words, least)
+    for later in (lambda nodes: join.near(nodes, 2 * NEAREST), lambda nodes: join.rest(nodes, 4 * NEAREST), join.rest):
+        # Contracted links stand for all links so far.
+        edges = contracted(edges, 2)
+        known = roots(edges)
+        nodes = cut(texts.join(known, texts["key"] == known["node"], "left").select("key", "fp", F.coalesce("root", "key").alias("root")))
+        more, found = _alike(later(nodes), compared, texts, named, verify_words, least)
         compared, edges = compared.union(more), edges.union(found)
-    roots = connected_components(edges)
-    rooted = texts.join(roots, texts["key"] == roots["node"], "left").select("key", "doc", "md5", F.coalesce("root", "key").alias("root"))
+    known = connected_components(edges)
+    rooted = texts.join(known, texts["key"] == known["node"], "left").select("key", "doc", "md5", F.coalesce("root", "key").alias("root"))
     best = cut(rooted.groupBy("root").agg(F.min(F.struct("doc", "key")).alias("best")))
     classes = cut(rooted.join(best, "root").select("key", "md5", F.col("best.doc").alias("stay"), F.col("best.key").alias("as")))
     # Two texts of one key (a collision of 64 bits) are told apart by their digests: the other one stays.

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import col, cut, deal, held, partitions, raw_values, released
+from .common import col, cut, deal, held, partitions, raw_values, released, unpack
 from .rolling import mix, prefix_sums, tables
 
 #: Bytes of a repeat and of a gram; bytes hashed at once; entries refined at once.
@@ -302,7 +302,7 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[li
                 yield blobs
                 blobs = []
             current = bucket
-            blobs.append(np.frombuffer(blob.as_buffer(), kind))
+            blobs.append(unpack(blob.as_buffer(), kind))
     if blobs:
         yield blobs
 
