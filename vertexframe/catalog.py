@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 from .errors import BindingProblem
 
 
+def joined(columns: list[Column]) -> Column:
+    """Values as one id: joined by "/", which is escaped inside them; missing ones are told from empty ones."""
+    parts = [F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("/"), F.lit("\\/")) for c in columns]
+    return F.concat_ws("/", *[F.coalesce(p, F.lit("\\N")) for p in parts])
+
+
 @dataclass(frozen=True)
 class NodeType:
     """Nodes of one type.  key: the columns that identify a node (none: the whole row does)."""
@@ -40,8 +46,7 @@ class NodeType:
     def id(self) -> Column:
         if len(self.key) == 1:
             return F.col(f"`{self.key[0]}`")
-        columns = self.key or tuple(self.df.columns)
-        return F.concat_ws("/", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
+        return joined([F.col(f"`{c}`") for c in self.key or tuple(self.df.columns)])
 
     def order(self) -> Column:
         return F.struct(*[F.col(f"`{c}`") for c in (self.key or tuple(self.df.columns))])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from dataclasses import dataclass, field
 
 from functools import reduce
@@ -33,6 +35,24 @@ class QueryResult:
         """Bindings that pass WHERE (runs a job)."""
         return self.bindings.df.count()
 
+    def plan(self, counts: bool = False) -> dict:
+        """Operations; for each alias its type and where its candidates come from; the filters that reach the scans.
+
+        counts: also candidates by alias, bindings, rows and seconds (runs jobs).
+        """
+        text = self.rows._jdf.queryExecution().executedPlan().toString()
+        pushed = sorted({f for part in re.findall(r"PushedFilters: \[(.*?)\]", text) for f in re.split(r", (?=[A-Z])", part) if f})
+        types = self.bindings.types
+        sources = {a: {"type": t.name, "source": "all nodes" if t.name is None else "type scan"} for a, t in types.items()}
+        out = {"operations": list(self.operations), "candidates": sources, "pushed": pushed, "scans": len(re.findall(r"FileScan|Scan ExistingRDD|LocalTableScan", text))}
+        if counts:
+            began = time.time()
+            for a, t in types.items():
+                sources[a]["count"] = t.df.count() if t.name is not None else sum(self.bindings.graph.type(n).df.count() for n in self.bindings.graph.names())
+            out |= {"bindings": self.matched(), "rows": self.rows.count()}
+            out["seconds"] = round(time.time() - began, 3)
+        return out
+
     def explain(self) -> str:
         """The operations of the statement and Spark's plan for it."""
         return "\n".join([*self.operations, "", self.rows._jdf.queryExecution().toString()])
@@ -51,16 +71,18 @@ class GraphSession:
             alias: (lambda parts: lambda scope: reduce(lambda x, y: x & y, [Compiler(scope, params, self.on_type_error).predicate(c) for c in parts], F.lit(True)))(parts)
             for alias, parts in semi_aliases(st).items()
         }
-        found = match(self.graph, st, params, order, semi or None)
-        where = st.where
-        if semi and not any(column(a, ID) in found.df.columns for a in semi):
-            # Their conditions were applied before the semi joins.
-            left = [c for c in (where.parts if isinstance(where, And) else [where] if where is not None else []) if not any(c in parts for parts in semi_aliases(st).values())]
-            where = And(tuple(left)) if left else None
-        if where is None:
-            return found
-        condition = Compiler(found, params, self.on_type_error).predicate(where)
-        return Bindings(found.df.where(condition), found.graph, found.types, found.optional)
+        def narrowed(found: Bindings) -> Bindings:
+            where = st.where
+            if semi and not any(column(a, ID) in found.df.columns for a in semi):
+                # Their conditions were applied before the semi joins.
+                left = [c for c in (where.parts if isinstance(where, And) else [where] if where is not None else []) if not any(c in parts for parts in semi_aliases(st).values())]
+                where = And(tuple(left)) if left else None
+            if where is None:
+                return found
+            condition = Compiler(found, params, self.on_type_error).predicate(where)
+            return Bindings(found.df.where(condition), found.graph, found.types, found.optional)
+
+        return match(self.graph, st, params, order, semi or None, narrowed)
 
     def query(self, text: str, **params) -> QueryResult:
         """Runs a reading statement."""

@@ -15,11 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .catalog import EdgeType, Graph, NodeType
+from .catalog import EdgeType, Graph, NodeType, joined
 from .errors import BindingProblem, MutationProblem
 from .lang.ast import Aggregate, Item, Literal, Path, Statement
 from .plans.expr import Compiler, Value, printed
-from .plans.match import ID, Bindings, column, ref
+from .plans.match import Bindings, ID, KIND, TYPE, column, node_frame, ref
 from .plans.project import finish, page, sorted_bindings
 
 CHANGES = ("object_id", "alias", "path", "before", "after", "operation")
@@ -83,7 +83,8 @@ def run_update(session, st: Statement, params: dict, dry: bool):
         known[path] = Literal(None)
     if not dry:
         for alias in dict.fromkeys(p.alias for p, _ in assigned):
-            graph = _patched(graph, bindings, alias, [(p.prop, v) for p, v in assigned if p.alias == alias])
+            items = [(p.prop, v) for p, v in assigned if p.alias == alias]
+            graph = _rewritten(graph, st, bindings, items, params, session.on_type_error) if _single(st, bindings) else _patched(graph, bindings, alias, items)
     for alias in st.deletes:
         targets = bindings.df.where(ref(alias, ID).isNotNull()).select(ref(alias, ID).alias("\x1fid")).distinct()
         graph, made = _deleted(graph, _node(bindings, alias), alias, targets)
@@ -100,6 +101,27 @@ def run_update(session, st: Statement, params: dict, dry: bool):
     return QueryResult(st, rows, bindings, operations(st), out, session.graph if dry else graph)
 
 
+def _single(st: Statement, bindings: Bindings) -> bool:
+    """Whether the statement reads nothing but the nodes of one table, all that pass WHERE."""
+    return len(st.matches) == 1 and not st.matches[0].edges and not st.optional and st.limit is None and st.offset is None and bindings.graph.edge_table is None and next(iter(bindings.types.values())).name is not None
+
+
+def _rewritten(graph: Graph, st: Statement, bindings: Bindings, items: list[tuple[str, Value]], params: dict, on_type_error: str) -> Graph:
+    """The graph with properties of the nodes that pass WHERE set, in one pass over the table."""
+    (alias, node), values = next(iter(bindings.types.items())), dict(items)
+    whole = node_frame(node, alias, {ID, TYPE, KIND}, True, False)
+    scope = Bindings(whole, graph, bindings.types, bindings.optional)
+    hit = F.coalesce(Compiler(scope, params, on_type_error).predicate(st.where), F.lit(False)) if st.where is not None else F.lit(True)
+    columns = []
+    for f in node.df.schema:
+        now = ref(alias, f.name)
+        if f.name in values:
+            new = values[f.name].col if values[f.name].type == f.dataType else values[f.name].col.try_cast(f.dataType)
+            now = F.when(hit, new).otherwise(now)
+        columns.append(now.alias(f.name))
+    return graph.with_nodes(node.name, whole.select(*columns))
+
+
 def _patched(graph: Graph, bindings: Bindings, alias: str, items: list[tuple[str, Value]]) -> Graph:
     """The graph with properties of the bound nodes set; the last binding and item win."""
     node = graph.type(bindings.types[alias].name)
@@ -120,7 +142,7 @@ def _patched(graph: Graph, bindings: Bindings, alias: str, items: list[tuple[str
 
 
 def _refers(edge: EdgeType, node: NodeType) -> Column:
-    return F.concat_ws("/", *[F.col(f"`{c}`").cast("string") for c in edge.src_cols]) if len(edge.src_cols) > 1 else F.col(f"`{edge.src_cols[0]}`")
+    return joined([F.col(f"`{c}`") for c in edge.src_cols]) if len(edge.src_cols) > 1 else F.col(f"`{edge.src_cols[0]}`")
 
 
 def _deleted(graph: Graph, node: NodeType, alias: str, targets: DataFrame) -> tuple[Graph, list[DataFrame]]:
@@ -175,7 +197,10 @@ def _created(graph: Graph, bindings: Bindings, item, compiler: Compiler) -> tupl
     found = F.lit(False)
     if item.on is not None:
         # The first of the nodes that refer to the owner with an equal key.
-        seen = node.df.groupBy(*[F.col(f"`{c}`").alias(f"\x1f{c}") for c in dict.fromkeys((*edge.src_cols, item.on))]).agg(F.min(F.struct(node.order(), F.struct(*[F.col(f"`{c}`") for c in node.df.columns]).alias("row"))).alias("\x1fold"))
+        probe = df.select(*[ref(item.alias, c).alias(f"\x1f{c}") for c in dict.fromkeys((*edge.src_cols, item.on))]).distinct()
+        wanted = [F.col(f"`{c}`") == F.col(f"`\x1f{c}`") for c in edge.src_cols] + [F.col(f"`{item.on}`").eqNullSafe(F.col(f"`\x1f{item.on}`"))]
+        touched = node.df.join(probe, reduce(lambda x, y: x & y, wanted), "left_semi")
+        seen = touched.groupBy(*[F.col(f"`{c}`").alias(f"\x1f{c}") for c in dict.fromkeys((*edge.src_cols, item.on))]).agg(F.min(F.struct(node.order(), F.struct(*[F.col(f"`{c}`") for c in node.df.columns]).alias("row"))).alias("\x1fold"))
         same = [ref(item.alias, c) == F.col(f"`\x1f{c}`") for c in edge.src_cols] + [ref(item.alias, item.on).eqNullSafe(F.col(f"`\x1f{item.on}`"))]
         df = df.join(seen, reduce(lambda x, y: x & y, same), "left")
         found = F.col("\x1fold").isNotNull()
@@ -202,7 +227,7 @@ def _created(graph: Graph, bindings: Bindings, item, compiler: Compiler) -> tupl
 def _id_of(node: NodeType, alias: str) -> Column:
     if len(node.key) == 1:
         return ref(alias, node.key[0])
-    return F.concat_ws("/", *[F.coalesce(ref(alias, c).cast("string"), F.lit("")) for c in (node.key or node.df.columns)])
+    return joined([ref(alias, c) for c in (node.key or node.df.columns)])
 
 
 def merge_probe(graph: Graph, type_name: str, rows: DataFrame, key: str) -> DataFrame:

@@ -78,9 +78,14 @@ def violations(graph: Graph, constraints: list[Constraint], changed: dict[str, D
         if c.most is not None:
             parts.append(broken(rows, value > F.lit(c.most), "max"))
         if c.unique:
-            first = Window.partitionBy(value).orderBy(node.order())
-            ranked = whole.where(value.isNotNull()).withColumn("\x1frank", F.row_number().over(first))
-            later = ranked.where("`\x1frank` > 1")
+            given = whole.where(value.isNotNull())
+            if node.key:
+                # Counts and the first node of each value are pre-aggregated; only repeated values are joined back.
+                first = given.groupBy(value.alias("\x1fv")).agg(F.min(node.order()).alias("\x1ffirst"), F.count(F.lit(1)).alias("\x1fn")).where("`\x1fn` > 1")
+                later = given.join(first, value == F.col("\x1fv")).where(node.order() != F.col("\x1ffirst")).select(whole["*"])
+            else:
+                ranked = given.withColumn("\x1frank", F.row_number().over(Window.partitionBy(value).orderBy(node.order())))
+                later = ranked.where("`\x1frank` > 1")
             if changed is not None:
                 later = later.join(rows.select(value.alias("\x1fv")).distinct(), value == F.col("\x1fv"), "left_semi")
             parts.append(broken(later, F.lit(True), "unique"))

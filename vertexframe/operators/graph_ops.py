@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import EdgeType, Graph
+from ..catalog import EdgeType, Graph, joined
 
 
 def _joined(columns: tuple[str, ...]) -> Column:
-    return F.col(f"`{columns[0]}`").cast("string") if len(columns) == 1 else F.concat_ws("/", *[F.col(f"`{c}`").cast("string") for c in columns])
+    return F.col(f"`{columns[0]}`").cast("string") if len(columns) == 1 else joined([F.col(f"`{c}`") for c in columns])
 
 
 def references(graph: Graph, edge: EdgeType) -> DataFrame:

@@ -7,8 +7,9 @@ forms reach the Parquet scan).  Missing values compare as the empty string.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -22,6 +23,10 @@ _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _BLANKS = r"^[\s ﻿]+|[\s ﻿]+$"
 
 
+#: An instant as times print: years of four digits, milliseconds, UTC.
+_INSTANT = re.compile(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z")
+
+
 @dataclass(frozen=True)
 class Value:
     """A column and what is known of it.  bound: the alias whose presence tells null from missing."""
@@ -253,6 +258,9 @@ class Compiler:
             return v.col.isNull() if v.bound is None else v.col.isNull() & v.bound.isNotNull()
         if a.kind != b.kind or a.kind == "other":
             return F.lit(False) if a.kind != "other" or b.kind != "other" else a.col.eqNullSafe(b.col)
+        by_time = self._by_time("=", a, b, strict)
+        if by_time is not None:
+            return by_time
         x, y = self._alike(a, b)
         if a.literal or b.literal:
             out = x.eqNullSafe(y) if strict else x == y
@@ -288,9 +296,35 @@ class Compiler:
     def ordered(self, op: str, a: Value, b: Value, strict: bool) -> Column:
         if a.kind == "number" and b.kind == "number":
             return self._numeric(op, a, b, strict)
+        by_time = self._by_time(op, a, b, strict)
+        if by_time is not None:
+            return by_time
         x, y = F.collate(text_of(a), "UNICODE"), F.collate(text_of(b), "UNICODE")
         return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
 
+    def _by_time(self, op: str, a: Value, b: Value, strict: bool) -> Column | None:
+        """A time against a full instant as text, compared as times, which scans can filter by; None: not of this form.
+
+        Instants print with milliseconds, so all printed alike stand for the same millisecond.
+        """
+        if a.literal:
+            return self._by_time({"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op), b, a, strict) if not b.literal else None
+        kinds = {T.TimestampType: "timestamp", T.TimestampNTZType: "timestamp_ntz"}
+        if type(a.type) not in kinds or not (b.literal and isinstance(b.value, str) and _INSTANT.fullmatch(b.value)):
+            return None
+        try:
+            begin = datetime.fromisoformat(b.value[:-1])
+            end = begin + timedelta(milliseconds=1)
+        except (ValueError, OverflowError):
+            return None
+        x, y = (F.lit(t.isoformat(" ")).cast(kinds[type(a.type)]) for t in (begin, end))
+        if op == "=":
+            out = (a.col >= x) & (a.col < y)
+        else:
+            # A missing value compares as the empty string, which is below every instant.
+            out = {"<": lambda: (a.col < x) | a.col.isNull(), "<=": lambda: (a.col < y) | a.col.isNull(), ">": lambda: a.col >= y, ">=": lambda: a.col >= x}[op]()
+        return F.coalesce(out, F.lit(False)) if strict else out
+
     def _numeric(self, op: str, a: Value, b: Value, strict: bool) -> Column:
         x, y = a.col, b.col
         out = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]

@@ -7,6 +7,7 @@ along these equalities; a whole optional pattern is one sub-plan, joined from th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -340,8 +341,9 @@ def semi_aliases(st: Statement) -> dict[str, list]:
     return out
 
 
-def match(graph: Graph, st: Statement, params: dict, order: bool, semi: dict | None = None) -> Bindings:
-    """The bindings of a statement before WHERE."""
+def match(graph: Graph, st: Statement, params: dict, order: bool, semi: dict | None = None, narrowed: Callable[[Bindings], Bindings] = lambda found: found) -> Bindings:
+    """The bindings of a statement; narrowed applies WHERE, to each typing of an untyped pattern before they are put
+    together, so that a comparison sees values of their own type and filters reach the scans."""
     declared = _declared([*st.matches, *st.optional])
     mandatory = set(_declared(st.matches))
     hops = _hops(st.matches) + _hops(st.optional)
@@ -350,7 +352,7 @@ def match(graph: Graph, st: Statement, params: dict, order: bool, semi: dict | N
     if not ways:
         raise BindingProblem("no node and edge types fit the patterns")
     rules = Rules(anti_aliases(st), semi if len(ways) == 1 and graph.edge_table is None else None)
-    made = [_match_one(graph, st, types, chosen, mandatory, order, params, rules) for types, chosen in ways]
+    made = [narrowed(_match_one(graph, st, types, chosen, mandatory, order, params, rules)) for types, chosen in ways]
     if len(made) == 1:
         return made[0]
     return _union(made)
