@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import EdgeType, Graph, joined
+from ..scratch import settled
 
 
 def _joined(columns: tuple[str, ...]) -> Column:
@@ -86,3 +87,29 @@ def unreachable(graph: Graph, type_name: str) -> DataFrame:
     node = graph.type(type_name)
     referred = parents(graph, type_name).select(F.col("id").alias("\x1fid")).distinct()
     return node.df.join(referred, node.id().cast("string") == F.col("\x1fid"), "left_anti")
+
+
+def reachable(graph: Graph, roots: dict[str, DataFrame]) -> DataFrame:
+    """(type, id): everything that references lead to from the roots (ids as text, column `id`, by type), these included.
+
+    Each round joins the newest nodes with all references and takes out known ones; what a round finds is
+    written to the shared folder, so plans stay short and cycles end.
+    """
+    spark = graph.type(graph.names()[0]).df.sparkSession
+    links = [references(graph, e).select(F.lit(e.src).alias("src"), "src_id", F.lit(e.dst).alias("dst"), "dst_id") for e in graph.edges]
+    empty = spark.createDataFrame([], "type string, id string")
+    newest = settled(reduce(lambda a, b: a.union(b), [df.select(F.lit(t).alias("type"), F.col("id").cast("string").alias("id")) for t, df in roots.items()], empty).distinct())
+    known = newest
+    while links and not newest.isEmpty():
+        edges = reduce(lambda a, b: a.union(b), links)
+        found = edges.join(newest, (F.col("src") == F.col("type")) & (F.col("src_id") == F.col("id")), "left_semi").select(F.col("dst").alias("type"), F.col("dst_id").alias("id")).distinct()
+        newest = settled(found.join(known, ["type", "id"], "left_anti"))
+        known = known.union(newest)
+    return known
+
+
+def unreached(graph: Graph, type_name: str, roots: dict[str, DataFrame]) -> DataFrame:
+    """Nodes of a type that no chain of references leads to from the roots."""
+    node = graph.type(type_name)
+    known = reachable(graph, roots).where(F.col("type") == type_name).select(F.col("id").alias("\x1fid"))
+    return node.df.join(known, node.id().cast("string") == F.col("\x1fid"), "left_anti")

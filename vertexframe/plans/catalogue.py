@@ -17,11 +17,14 @@ from ..mutate import merge_probe
 from ..operators import constraints, graph_ops, indexes
 from ..operators.constraints import Constraint
 from ..operators.indexes import Index
+from .store_queries import CALLS as STORED
 
 #: name: (query text, parameters, SQL)
 TEXTS: dict[str, tuple[str, dict, str]] = {
     "scan_type": ("MATCH (n:Nation) RETURN n.n_nationkey AS k, n.n_name AS name", {}, "SELECT n_nationkey AS k, n_name AS name FROM nation"),
     "scan_metadata": ('MATCH (n:Region) WHERE n.$id IN [1, 3] RETURN n.$id AS id, n.$type AS t, n.$kind AS kind', {}, "SELECT r_regionkey AS id, 'Region' AS t, 'object' AS kind FROM region WHERE r_regionkey IN (1, 3)"),
+    "scan_id_untyped": ("MATCH (n) WHERE n.$id = 1 RETURN n.$type AS t", {}, " UNION ALL ".join(f"SELECT '{t}' AS t FROM {x} WHERE {k}=1" for t, x, k in (("Region", "region", "r_regionkey"), ("Nation", "nation", "n_nationkey"), ("Customer", "customer", "c_custkey"), ("Supplier", "supplier", "s_suppkey"), ("Part", "part", "p_partkey"), ("Order", "orders", "o_orderkey"), ("Event", "events", "event_id"), ("Document", "documents", "doc_id"), ("Label", "labels", "doc_id"), ("Embedding", "embeddings", "vec_id"), ("Page", "pages", "page_id"), ("BenchmarkItem", "benchmark", "item_id")))),
+    "scan_ids_untyped": ('MATCH (n) WHERE n.$id IN [2, "1/0"] AND n.$type != "Event" AND n.$type != "Document" RETURN n.$type AS t', {}, " UNION ALL ".join(f"SELECT '{t}' AS t FROM {x} WHERE {k}" for t, x, k in (("Region", "region", "r_regionkey=2"), ("Nation", "nation", "n_nationkey=2"), ("Customer", "customer", "c_custkey=2"), ("Supplier", "supplier", "s_suppkey=2"), ("Part", "part", "p_partkey=2"), ("Order", "orders", "o_orderkey=2"), ("Label", "labels", "doc_id=2"), ("Embedding", "embeddings", "vec_id=2"), ("Page", "pages", "page_id=2"), ("BenchmarkItem", "benchmark", "item_id=2"), ("Turn", "conversations", "conv_id=1 AND turn=0")))),
     "filter_eq": ('MATCH (o:Order) WHERE o.o_orderstatus = "F" RETURN o.o_orderkey AS k', {}, "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus='F'"),
     "filter_ne": ('MATCH (o:Order) WHERE o.o_orderstatus != "F" RETURN o.o_orderkey AS k', {}, "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'"),
     "filter_type_strict": ('MATCH (p:Part) WHERE p.p_size = "7" OR p.p_size = 7 RETURN p.p_partkey AS k', {}, "SELECT p_partkey AS k FROM part WHERE p_size=7"),
@@ -31,6 +34,7 @@ TEXTS: dict[str, tuple[str, dict, str]] = {
     "filter_in": ('MATCH (c:Customer) WHERE c.c_mktsegment IN ["BUILDING", "MACHINERY"] RETURN c.c_custkey AS k', {}, "SELECT c_custkey AS k FROM customer WHERE c_mktsegment IN ('BUILDING','MACHINERY')"),
     "filter_param_in": ("MATCH (p:Part) WHERE p.p_size IN $sizes RETURN p.p_partkey AS k", {"sizes": [3, 7, 11]}, "SELECT p_partkey AS k FROM part WHERE p_size IN (3,7,11)"),
     "filter_date": ('MATCH (o:Order) WHERE o.o_orderdate >= "1998-01-01T00:00:00.000Z" RETURN o.o_orderkey AS k, o.o_orderdate AS d', {}, "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') AS d FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'"),
+    "filter_instants": ('MATCH (o:Order) WHERE o.o_orderdate < "1995-06-17T00:00:00.000Z" AND NOT o.o_orderdate <= "1995-06-01T00:00:00.000Z" OR o.o_orderdate = "1996-02-29T00:00:00.000Z" OR "1998-07-01T00:00:00.000Z" < o.o_orderdate RETURN o.o_orderkey AS k', {}, "SELECT o_orderkey AS k FROM orders WHERE (o_orderdate < TIMESTAMP '1995-06-17' AND NOT o_orderdate <= TIMESTAMP '1995-06-01') OR o_orderdate = TIMESTAMP '1996-02-29' OR o_orderdate > TIMESTAMP '1998-07-01'"),
     "str_contains": ('MATCH (p:Part) WHERE p.p_name CONTAINS "ring" RETURN p.p_partkey AS k', {}, "SELECT p_partkey AS k FROM part WHERE contains(p_name,'ring')"),
     "str_starts_ends": ('MATCH (p:Part) WHERE p.p_name STARTS WITH "small" OR p.p_name ENDS WITH "ring" RETURN p.p_partkey AS k', {}, "SELECT p_partkey AS k FROM part WHERE starts_with(p_name,'small') OR ends_with(p_name,'ring')"),
     "null_checks": ("MATCH (d:Document) OPTIONAL MATCH (d)<-[:document]-(l:Label) WHERE l.quality IS NULL AND d.lang IS NOT NULL RETURN d.doc_id AS id", {}, "SELECT d.doc_id AS id FROM documents d LEFT JOIN labels l ON l.doc_id=d.doc_id WHERE l.quality IS NULL AND d.lang IS NOT NULL"),
@@ -232,8 +236,8 @@ def _text_query(text: str, params: dict) -> Callable[[SparkSession, str], DataFr
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**{name: _text_query(text, params) for name, (text, params, _) in TEXTS.items()}, **{name: f for name, (f, _) in CALLS.items()}}
+    return {**{name: _text_query(text, params) for name, (text, params, _) in TEXTS.items()}, **{name: f for name, (f, _) in (CALLS | STORED).items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**{name: sql for name, (_, _, sql) in TEXTS.items()}, **{name: sql for name, (_, sql) in CALLS.items()}}
+    return {**{name: sql for name, (_, _, sql) in TEXTS.items()}, **{name: sql for name, (_, sql) in (CALLS | STORED).items()}}

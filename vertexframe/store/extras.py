@@ -5,12 +5,14 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Graph
 from ..errors import StoreProblem
+from ..operators.constraints import Constraint, violations
 from ..operators.indexes import Index, entries, verify
 from .store import Store
 
@@ -125,6 +127,38 @@ class IndexStore:
         return broken
 
 
+class ConstraintContract:
+    """Declared constraints, kept beside the store with the last validation."""
+
+    NAME = "constraints.json"
+
+    def __init__(self, store: Store, graph_of: Callable[[dict[str, DataFrame]], Graph], constraints: list[Constraint]):
+        self.store, self.graph_of, self.constraints = store, graph_of, constraints
+
+    def record(self) -> dict:
+        """Definitions and the last validation (None: never)."""
+        if not self.store.target.exists(self.NAME):
+            return {"constraints": [], "validation": None}
+        return json.loads(self.store.target.read_text(self.NAME))
+
+    def violations(self) -> DataFrame:
+        return violations(self.graph_of(self.store.tables()), self.constraints)
+
+    def validate(self) -> dict:
+        """Checks the current version and writes the record: counts by type, property and rule."""
+        counts = self.violations().groupBy("type", "prop", "rule").count().orderBy("type", "prop", "rule").collect()
+        found = [{"type": r["type"], "prop": r["prop"], "rule": r["rule"], "count": r["count"]} for r in counts]
+        record = {"constraints": [asdict(c) for c in self.constraints], "validation": {"version": self.store.version, "valid": not found, "violations": found}}
+        self.store.target.write_text(self.NAME, json.dumps(record, sort_keys=True, default=str))
+        return record
+
+    def current(self) -> bool:
+        """Whether the last validation was of this version and of these definitions."""
+        known = self.record()
+        same = json.loads(json.dumps([asdict(c) for c in self.constraints], default=str)) == known["constraints"]
+        return same and known["validation"] is not None and known["validation"]["version"] == self.store.version
+
+
 def safety_profile(store: Store) -> dict:
     """Issues with their weight, and a score from 100 down to 0."""
     issues: list[tuple[str, str]] = []
@@ -141,7 +175,7 @@ def safety_profile(store: Store) -> dict:
         issues.append(("single-version", "warning"))
     if store.garbage():
         issues.append(("garbage", "note"))
-    weight = {"critical": 35, "warning": 12, "note": 2}
+    weight = {"critical": 40, "warning": 10, "note": 2}
     return {"score": max(0, 100 - sum(weight[w] for _, w in issues)), "issues": [{"code": c, "weight": w} for c, w in issues]}
 
 
