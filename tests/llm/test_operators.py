@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vertexframe.llm import chat_format, common, media_audio, mixing, packing, rolling, sharding, simhash, suffix_dedup, token_counts, topk_search, toxicity
+from vertexframe.llm import chat_format, common, components, media_audio, mixing, packing, rolling, sharding, simhash, suffix_dedup, token_counts, topk_search, toxicity
 from vertexframe.llm.common import hf_tokenizer, tokenizer_path
 from vertexframe.llm.components import connected_components
 
@@ -671,7 +671,9 @@ def test_near_copies_of_one_fingerprint(spark):
     assert {r.doc_id for r in found.collect()} == {0, 1}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges", [100_000, 50])
+def test_components(spark, monkeypatch, edges):
+    monkeypatch.setattr(components, "PART_EDGES", edges)
     rng = random.Random(4)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(500 + i, 501 + i) for i in range(60)] + [(7, 7)]
     want = components_of(pairs)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SHARE = 500
+#: Edges of a partition at least: few edges are not spread over many tasks.
+PART_EDGES = 100_000
 
 
 def _with_least(rows: DataFrame, total: int, keep: Column) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +49,8 @@ def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     state = now.agg(*count).first()
     done = 0
     while state[0] and done != rounds:
-        now = cut(_small_star(_large_star(now, state[0]), state[0]))
+        parts = -(-state[0] // PART_EDGES)
+        now = cut(_small_star(_large_star(now.coalesce(parts), state[0]), state[0]).coalesce(parts))
         found, done = now.agg(*count).first(), done + 1
         if found == state:
             break
