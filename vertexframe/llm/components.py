@@ -31,7 +31,7 @@ def _with_least(rows: DataFrame, total: int, keep: Column) -> tuple[DataFrame, D
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
-    both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+    both = edges.select("u", "v").union(edges.select("v", "u"))
     moved, _ = _with_least(both, total, F.col("v") > F.col("u"))
     return moved.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v")
 
@@ -61,8 +61,9 @@ def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 def roots(edges: DataFrame) -> DataFrame:
     """Contracted edges -> (node, root): its least neighbour or itself.  Equal roots mean one component; if contraction
     stopped early, a component may have several."""
-    both = edges.select(F.explode(F.array(F.struct(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root")), F.struct(F.least("u", "v").alias("node"), F.least("u", "v").alias("root")))).alias("e"))
-    return both.groupBy("e.node").agg(F.min("e.root").alias("root"))
+    up, down = F.greatest("u", "v"), F.least("u", "v")
+    both = edges.select(up.alias("node"), down.alias("root")).union(edges.select(down, down))
+    return both.groupBy("node").agg(F.min("root").alias("root"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

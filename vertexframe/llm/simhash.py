@@ -240,7 +240,7 @@ def joining_links(distinct: DataFrame, distance: int) -> DataFrame:
     """
     n = distinct.count()
     early = cut(first_links(distinct, distance))
-    found = roots(contracted(early.select("u", "v"), 1))
+    found = connected_components(early.select("u", "v"))
     rooted = cut(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "name", F.coalesce("root", "fp").alias("root")))
     parts = _plan_of(distinct, distance, n)
     left, right = _probes(rooted, parts)
