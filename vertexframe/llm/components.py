@@ -4,6 +4,10 @@ Nothing but (node, node) rows is shuffled, no neighbourhood is gathered in one p
 pre-aggregated), and each round is cut by a checkpoint in the shared folder.  The number of rounds grows
 with the logarithm of the longest chain.
 
+Before the first round, each task reduces its own edges to stars of their least nodes, so what is shuffled
+has at most one edge for each node of a task.  Once PART_EDGES edges or fewer are left, one task holds them
+all, and the same reduction there is the result.
+
 The rows of a node of many neighbours would meet in one task when they are joined with the node's least
 neighbour.  At most 2 * SHARE nodes can have over 1 / SHARE of all edge ends: these few are broadcast to
 wherever their rows lie, and only the other rows are shuffled.
@@ -11,6 +15,10 @@ wherever their rows lie, and only the other rows are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +27,48 @@ from .common import cut
 SHARE = 500
 #: Edges of a partition at least: few edges are not spread over many tasks.
 PART_EDGES = 100_000
+#: Edges that a task holds before it reduces them.
+HELD_EDGES = 1_000_000
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a graph as (node, least node that it reaches by them), without least nodes themselves."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    parent = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
+        apart = low != high
+        if not apart.any():
+            break
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        np.minimum.at(parent, high, low)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    moved = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[moved], nodes[parent[moved]]
+
+
+def _reduced(edges: DataFrame) -> DataFrame:
+    """Edges that join the same nodes: those of each partition as stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = v = np.empty(0, np.int64)
+        waiting, count = [], 0
+        for batch in batches:
+            waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            count += batch.num_rows
+            if count >= HELD_EDGES:
+                u, v = stars(*(np.concatenate([x, *y]) for x, y in zip((u, v), zip(*waiting))))
+                waiting, count = [], 0
+                if len(u) >= HELD_EDGES:  # of too many nodes: the rounds join the rest
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                    u = v = np.empty(0, np.int64)
+        if waiting:
+            u, v = stars(*(np.concatenate([x, *y]) for x, y in zip((u, v), zip(*waiting))))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).mapInArrow(run, "u long, v long")
 
 
 def _with_least(rows: DataFrame, total: int, keep: Column) -> tuple[DataFrame, DataFrame]:
@@ -44,11 +94,13 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
 
 def contracted(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Edges (u, v) that join the same nodes: with no number of rounds, each node with the least that it can reach."""
-    now = cut(edges.select("u", "v").where("u <> v").distinct())
+    now = cut(_reduced(edges.where("u <> v")))
     count = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
     state = now.agg(*count).first()
     done = 0
     while state[0] and done != rounds:
+        if state[0] <= PART_EDGES:
+            return cut(_reduced(now.coalesce(1)))
         parts = -(-state[0] // PART_EDGES)
         now = cut(_small_star(_large_star(now.coalesce(parts), state[0]), state[0]).coalesce(parts))
         found, done = now.agg(*count).first(), done + 1
