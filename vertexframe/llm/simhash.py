@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, deal, gather, in_parts, partitions, raw_values, slices, small
+from .common import col, cut, deal, gather, in_parts, partitions, raw_values, release, returning, slices, small
 from .components import connected_components, contracted, roots
 from .rolling import mix, shingle_set, similarity
 
@@ -272,8 +272,8 @@ NEAR = np.dtype([("a", "<u8"), ("b", "<u8"), ("bits", "u1")])
 SHARED = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("m", "<u4"), ("count", "<u4")])
 #: Neighbours on either side that are looked at in each order of fingerprints, and bits by which these are rotated.
 WINDOW, TURNS = 6, (0, 16, 32, 48)
-#: Pairs that a task makes before it counts and sends them.
-PAIRS_AT_ONCE = 2_000_000
+#: Pairs that a task makes at once, and holds before it counts and sends them.
+PAIRS_AT_ONCE, PAIRS_HELD = 250_000, 1_000_000
 
 
 def fitting(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -372,31 +372,42 @@ def shared(entries: np.ndarray, least: float) -> Iterator[np.ndarray]:
     run = np.maximum.accumulate(np.where(_starts(entries, "s") | _starts(entries, "root"), at, 0))
     # Each entry with those of its shingle that stand before the run of its root.
     total = np.concatenate([[0], np.cumsum(run - group)])
+    key, n = entries["key"], entries["n"]
     out, held, k = [], 0, 0
     while k < len(entries):
         end = max(k + 1, int(np.searchsorted(total, total[k] + PAIRS_AT_ONCE, "right")) - 1)
-        counts = run[k:end] - group[k:end]
-        mine = np.repeat(at[k:end], counts)
-        theirs = np.arange(len(mine)) - np.repeat(total[k:end] - total[k], counts) + group[mine]
-        x, y = entries[mine], entries[theirs]
-        good = sizes_fit(x["n"], y["n"], least)
-        x, y = x[good], y[good]
-        swap = x["key"] > y["key"]
-        found = np.empty(len(x), SHARED)
-        found["a"], found["b"] = np.where(swap, y["key"], x["key"]), np.where(swap, x["key"], y["key"])
-        found["n"], found["m"], found["count"] = np.where(swap, y["n"], x["n"]), np.where(swap, x["n"], y["n"]), 1
-        out.append(found)
-        held, k = held + len(found), end
-        if held > PAIRS_AT_ONCE:
+        for mine, theirs in _before(group[k:end], run[k:end], k):
+            good = sizes_fit(n[mine], n[theirs], least)
+            mine, theirs = mine[good], theirs[good]
+            swap = key[mine] > key[theirs]
+            a, b = np.where(swap, theirs, mine), np.where(swap, mine, theirs)
+            found = np.empty(len(a), SHARED)
+            found["a"], found["b"], found["n"], found["m"], found["count"] = key[a], key[b], n[a], n[b], 1
+            out.append(found)
+            held += len(found)
+        k = end
+        if held > PAIRS_HELD:
             out = [counted(np.concatenate(out))]
             held = len(out[0])
-            if held > PAIRS_AT_ONCE // 2:
+            if held > PAIRS_HELD // 2:
                 yield out[0]
                 out, held = [], 0
     if held:
         yield counted(np.concatenate(out))
 
 
+def _before(low: np.ndarray, high: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the entries from k on, each with those in its range low .. high, in parts of PAIRS_AT_ONCE (one range may be longer than that)."""
+    if len(low) == 1:
+        for begin in range(int(low[0]), int(high[0]), PAIRS_AT_ONCE):
+            theirs = np.arange(begin, min(begin + PAIRS_AT_ONCE, int(high[0])))
+            yield np.full(len(theirs), k), theirs
+        return
+    counts = high - low
+    mine = np.repeat(np.arange(len(low)), counts)
+    yield mine + k, np.arange(len(mine)) - np.repeat(np.cumsum(counts) - counts, counts) + low[mine]
+
+
 def counted(found: np.ndarray) -> np.ndarray:
     """SHAREDs with the counts of each pair summed up."""
     found = found[np.lexsort((found["b"], found["a"]))]
@@ -438,7 +449,8 @@ class PrefixJoin:
         def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _dealt(1, grouped(gather(batches, ENTRY))[0], "key", buckets)
 
-        self.settled = cut(texts.select("t").mapInArrow(enter, RECORD).repartition(self.tasks, "bucket").mapInArrow(settle, RECORD))
+        self.settled = cut(texts.select("t").mapInArrow(returning(enter), RECORD).repartition(self.tasks, "bucket").mapInArrow(returning(settle), RECORD))
+        release(texts.sparkSession)
 
     def _rooted(self, nodes: DataFrame) -> DataFrame:
         """The settled entries, dealt by shingle, with fp and root of their texts; nodes: key, fp, root."""
@@ -462,7 +474,7 @@ class PrefixJoin:
                     out[name] = entries[name] if name in ENTRY.names else known[name][at]
                 yield _dealt(1, out, "s", buckets)
 
-        return self.settled.union(nodes.select(*NODE.names).mapInArrow(send, RECORD)).repartition(self.tasks, "bucket").mapInArrow(attach, RECORD).repartition(self.tasks, "bucket")
+        return self.settled.union(nodes.select(*NODE.names).mapInArrow(returning(send), RECORD)).repartition(self.tasks, "bucket").mapInArrow(returning(attach), RECORD).repartition(self.tasks, "bucket")
 
     def near(self, nodes: DataFrame, k: int) -> DataFrame:
         """(a, b): up to k near texts of other roots for each text; from here on, shingles of one root are left out."""
@@ -479,9 +491,10 @@ class PrefixJoin:
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _rows(best(gather(batches, NEAR), k))
 
-        found = cut(self._rooted(nodes).mapInArrow(settle, RECORD))
+        found = cut(self._rooted(nodes).mapInArrow(returning(settle), RECORD))
         self.settled = found.where("kind = 1")
-        return found.where("kind = 0").repartition(self.tasks, "bucket").mapInArrow(choose, "a long, b long")
+        release(found.sparkSession)
+        return found.where("kind = 0").repartition(self.tasks, "bucket").mapInArrow(returning(choose), "a long, b long")
 
     def rest(self, nodes: DataFrame, k: int | None = None) -> DataFrame:
         """(a, b): all pairs of texts of different roots that can be similar enough; with k: for each text the k that share most."""
@@ -508,10 +521,10 @@ class PrefixJoin:
             starts = np.flatnonzero(_starts(found, "a"))
             yield from _rows(found[np.arange(len(found)) - np.repeat(starts, np.diff(np.append(starts, len(found)))) < k])
 
-        pairs = self._rooted(nodes).mapInArrow(settle, RECORD).repartition(self.tasks, "bucket")
+        pairs = self._rooted(nodes).mapInArrow(returning(settle), RECORD).repartition(self.tasks, "bucket")
         if k is None:
-            return pairs.mapInArrow(choose, "a long, b long")
-        return pairs.mapInArrow(choose, RECORD).repartition(self.tasks, "bucket").mapInArrow(most, "a long, b long")
+            return pairs.mapInArrow(returning(choose), "a long, b long")
+        return pairs.mapInArrow(returning(choose), RECORD).repartition(self.tasks, "bucket").mapInArrow(returning(most), "a long, b long")
 
 
 RECORD = "kind int, bucket long, blob binary"
@@ -578,6 +591,8 @@ def drop_near_copies(df: DataFrame, *, distance: int = 3, shingle: int = 3, veri
     nodes = texts.select("key", "fp", F.col("key").alias("root"))
     first = across.union(within).union(join.near(nodes, NEAREST))
     compared, edges = _alike(first, None, texts, named, verify_words, least)
+    del heads, across, within, first, nodes
+    release(df.sparkSession)
     for later in (lambda nodes: join.near(nodes, 2 * NEAREST), lambda nodes: join.rest(nodes, 4 * NEAREST), join.rest):
         # Contracted links stand for all links so far.
         edges = contracted(edges, 2)
@@ -585,6 +600,8 @@ def drop_near_copies(df: DataFrame, *, distance: int = 3, shingle: int = 3, veri
         nodes = cut(texts.join(known, texts["key"] == known["node"], "left").select("key", "fp", F.coalesce("root", "key").alias("root")))
         more, found = _alike(later(nodes), compared, texts, named, verify_words, least)
         compared, edges = compared.union(more), edges.union(found)
+        del nodes, known, more, found
+        release(df.sparkSession)
     known = connected_components(edges)
     rooted = texts.join(known, texts["key"] == known["node"], "left").select("key", "doc", "md5", F.coalesce("root", "key").alias("root"))
     best = cut(rooted.groupBy("root").agg(F.min(F.struct("doc", "key")).alias("best")))
@@ -600,6 +617,7 @@ def _alike(pairs: DataFrame, known: DataFrame | None, texts: DataFrame, named: D
     """Of the pairs (a, b) of keys that are not known: all, and (u, v) of those whose texts are similar enough, by their whole sets of shingles."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = cut(pairs if known is None else pairs.join(known, ["a", "b"], "left_anti"))
+    release(texts.sparkSession)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = small(cut(texts.join(needed, "key", "left_semi").select("key", "doc")))
     bodies = cut(named.withColumn("key", F.xxhash64("t")).join(wanted, ["key", "doc"], "left_semi").select("key", "t").groupBy("key").agg(F.first("t").alias("t")))
@@ -609,8 +627,9 @@ def _alike(pairs: DataFrame, known: DataFrame | None, texts: DataFrame, named: D
             good = [similarity(shingle_set(x, words), shingle_set(y, words)) >= least for x, y in zip(raw_values(batch.column("x")), raw_values(batch.column("y")))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    release(texts.sparkSession)
     left, right = bodies.select(F.col("key").alias("a"), F.col("t").alias("x")), bodies.select(F.col("key").alias("b"), F.col("t").alias("y"))
-    return pairs, cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "u long, v long"))
+    return pairs, cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(returning(verify), "u long, v long"))
 
 
 def _prints(df: DataFrame, shingle: int) -> DataFrame:
@@ -628,4 +647,4 @@ def _prints(df: DataFrame, shingle: int) -> DataFrame:
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, key)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *longs, pa.array(digest, pa.binary()), pa.array(count, pa.int64())], ["doc", "fp", "key", "md5", "words"])
 
-    return df.mapInArrow(run, "doc long, fp long, key long, md5 binary, words long")
+    return df.mapInArrow(returning(run), "doc long, fp long, key long, md5 binary, words long")

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import col, cut, deal, held, partitions, raw_values, released, unpack
+from .common import col, cut, deal, held, partitions, raw_values, released, returning, unpack
 from .rolling import mix, prefix_sums, tables
 
 #: Bytes of a repeat and of a gram; bytes hashed at once; entries refined at once.
@@ -344,7 +344,7 @@ def _marked(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) ->
                     many = pa.nulls(len(p), pa.bool_()) if kind is None else pa.array(kind[k : k + 50_000])
                     yield pa.RecordBatch.from_arrays([pa.array(p["doc"]), pa.array((p["at"] >> _U(32)).astype(np.int64)), pa.array((p["at"] & _U(0xFFFFFFFF)).astype(np.int32)), gram, many], ["doc", "tie", "place", "gram", "common"])
 
-    marks = docs.select("id", "text").mapInArrow(anchor, "bucket long, blob binary").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "doc long, tie long, place int, gram long, common boolean")
+    marks = docs.select("id", "text").mapInArrow(returning(anchor), "bucket long, blob binary").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(returning(settle), "doc long, tie long, place int, gram long, common boolean")
     edge = F.col("gram").isNotNull()
     by_doc = cut(
         marks.groupBy("doc", "tie").agg(
@@ -382,7 +382,7 @@ def _marked(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) ->
 
     # All columns of `found`, so that both uses of it share its exchanges.
     edged = found.where(F.size("edge") > 0)
-    spans = edged.mapInArrow(edges, "bucket long, blob binary").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, "doc long, tie long, begin int, end int")
+    spans = edged.mapInArrow(returning(edges), "bucket long, blob binary").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(returning(merge), "doc long, tie long, begin int, end int")
     cuts = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("begin", "end")).alias("cuts"))
     return found.join(cuts.hint("shuffle_hash"), ["doc", "tie"], "left")
 
