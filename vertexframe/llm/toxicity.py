@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import ROW, col, cut, held, others, released, slices
+from .common import ROW, col, cut, held, others, released, returning, slices
 
 #: Rows to fit on, words of the model, documents that a word must occur in, and the decision threshold.
 MAX_FIT, MAX_WORDS, MIN_DOCS, THRESHOLD = 6000, 2000, 4, 0.3
@@ -202,15 +202,21 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 def score_documents(df: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with score and predicted."""
     kept = others(df, ("score", "predicted"))
-    rows = df.select(held(kept), col(text_col).alias("t"))
+    # The text travels once: inside the row, where that holds it.
+    inside = text_col in kept
+    rows = df.select(held(kept)) if inside else df.select(held(kept), col(text_col).alias("t"))
+    place = kept.index(text_col) if inside else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 1 << 22):
-            scores = [model.score(t) for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [ROW, "score", "predicted"])
+        for whole in batches:
+            if inside:
+                whole = whole.append_column("t", whole.column(ROW).field(place))
+            for batch in slices([whole], "t", 1 << 22):
+                scores = [model.score(t) for t in batch.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], [ROW, "score", "predicted"])
 
     schema = StructType([rows.schema[ROW], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return rows.mapInArrow(run, schema).select(*released(kept), "score", "predicted")
+    return rows.mapInArrow(returning(run), schema).select(*released(kept), "score", "predicted")
 
 
 def offending_sentences(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
