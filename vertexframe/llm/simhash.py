@@ -272,6 +272,8 @@ NEAR = np.dtype([("a", "<u8"), ("b", "<u8"), ("bits", "u1")])
 SHARED = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("m", "<u4"), ("count", "<u4")])
 #: Neighbours on either side that are looked at in each order of fingerprints, and bits by which these are rotated.
 WINDOW, TURNS = 6, (0, 16, 32, 48)
+#: Bytes of entries in a bucket: as many as there are partitions, if these hold the least; beyond the most, more.
+LEAST_BUCKET, MOST_BUCKET = 1 << 21, 1 << 25
 #: Pairs that a task makes at once, and holds before it counts and sends them.
 PAIRS_AT_ONCE, PAIRS_HELD = 250_000, 1_000_000
 
@@ -438,8 +440,9 @@ class PrefixJoin:
     def __init__(self, texts: DataFrame, size: int, common: np.ndarray, least: float, words: int):
         """texts: t; words: how many words they hold in all (which sets the number of buckets)."""
         tasks = partitions(texts.sparkSession)
-        # Entries of about 32 MB in a bucket.
-        self.least, buckets = least, max(tasks, int(words * (1 - least)) * ENTRY.itemsize >> 25)
+        # Each task makes a record for each bucket: their number follows the entries, not the session's partitions alone.
+        size_of_all = int(words * (1 - least)) * ENTRY.itemsize
+        self.least, buckets = least, max(1, min(tasks, size_of_all // LEAST_BUCKET), size_of_all // MOST_BUCKET)
         self.buckets, self.tasks = buckets, max(tasks, buckets)
 
         def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
