@@ -314,6 +314,18 @@ def grouped(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entries, np.append(new, len(entries))
 
 
+def meeting(entries: np.ndarray, bounds: np.ndarray, least: float) -> np.ndarray:
+    """The entries without shingles at which no two sets can first meet: the smaller one must have most of its order still before it.
+
+    So a passage that many texts hold, among them none that consists of little else, makes no pairs.
+    """
+    if not len(entries):
+        return entries
+    n = entries["n"].astype(np.int64)
+    begins = (n - entries["i"]) * (1 + least) >= 2 * n * least - 1e-6
+    return entries[np.repeat(np.logical_or.reduceat(begins, bounds[:-1]), np.diff(bounds))]
+
+
 def _starts(entries: np.ndarray, name: str) -> np.ndarray:
     """Whether an entry begins a new run of this field."""
     return np.concatenate([[True], entries[name][1:] != entries[name][:-1]]) if len(entries) else np.zeros(0, bool)
@@ -365,7 +377,10 @@ def nearest(entries: np.ndarray, least: float, k: int) -> np.ndarray:
 
 
 def shared(entries: np.ndarray, least: float) -> Iterator[np.ndarray]:
-    """SHAREDs of all pairs of texts of different roots that share a shingle, if their sizes fit; counts are of these entries."""
+    """SHAREDs of the pairs of texts of different roots that can first meet at one of these shingles (see fitting); counts are of such meetings.
+
+    Two sets that are similar enough do so at the first shingle they share, wherever they meet later.
+    """
     entries = entries[np.lexsort((entries["root"], entries["s"]))]
     if not len(entries):
         return
@@ -374,12 +389,13 @@ def shared(entries: np.ndarray, least: float) -> Iterator[np.ndarray]:
     run = np.maximum.accumulate(np.where(_starts(entries, "s") | _starts(entries, "root"), at, 0))
     # Each entry with those of its shingle that stand before the run of its root.
     total = np.concatenate([[0], np.cumsum(run - group)])
-    key, n = entries["key"], entries["n"]
+    key, n = entries["key"], entries["n"].astype(np.int64)
+    left = n - entries["i"]
     out, held, k = [], 0, 0
     while k < len(entries):
         end = max(k + 1, int(np.searchsorted(total, total[k] + PAIRS_AT_ONCE, "right")) - 1)
         for mine, theirs in _before(group[k:end], run[k:end], k):
-            good = sizes_fit(n[mine], n[theirs], least)
+            good = np.minimum(left[mine], left[theirs]) * (1 + least) >= (n[mine] + n[theirs]) * least - 1e-6
             mine, theirs = mine[good], theirs[good]
             swap = key[mine] > key[theirs]
             a, b = np.where(swap, theirs, mine), np.where(swap, mine, theirs)
@@ -419,21 +435,10 @@ def counted(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def enough(found: np.ndarray, least: float) -> np.ndarray:
-    """Whether sets whose prefixes share so many shingles can have a Jaccard similarity of `least`.
-
-    Of the set whose prefix ends first in the common order, all shared elements up to there are in both
-    prefixes, so the overlap is at most their count and what this set has after its prefix.
-    """
-    n, m = found["n"].astype(np.int64), found["m"].astype(np.int64)
-    after = np.maximum(*(np.ceil(least * x - 1e-9).astype(np.int64) - 1 for x in (n, m)))
-    return (found["count"] + after) * (1 + least) >= (n + m) * least - 1e-6
-
-
 class PrefixJoin:
     """Pairs of texts whose sets of `size`-word shingles can have a Jaccard similarity of `least`, by an exact prefix filter.
 
-    Two such sets share a shingle of their prefixes, and more of them the longer they are.  The prefixes'
+    Two such sets share a shingle of their prefixes, the first of which leaves enough of both.  The prefixes'
     entries travel as packed records dealt out by shingle, equal texts as one; shingles of one text end there.
     """
 
@@ -450,7 +455,7 @@ class PrefixJoin:
                 yield _dealt(1, prefix_entries(raw_values(batch.column("t")), size, common, least), "s", buckets)
 
         def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield _dealt(1, grouped(gather(batches, ENTRY))[0], "key", buckets)
+            yield _dealt(1, meeting(*grouped(gather(batches, ENTRY)), least), "key", buckets)
 
         self.settled = cut(texts.select("t").mapInArrow(returning(enter), RECORD).repartition(self.tasks, "bucket").mapInArrow(returning(settle), RECORD))
         release(texts.sparkSession)
@@ -509,7 +514,6 @@ class PrefixJoin:
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = counted(gather(batches, SHARED))
-            found = found[enough(found, least)]
             if k is None:
                 yield from _rows(found)
                 return
@@ -574,7 +578,7 @@ def drop_near_copies(df: DataFrame, *, distance: int = 3, shingle: int = 3, veri
     1. texts of fingerprints that joining_links joins (of one fingerprint, each text with the first one), and
        of the texts that share a shingle of their prefixes (PrefixJoin) the NEAREST by their fingerprints;
     2. for each text more of the nearest of other components by their fingerprints, and then those of other
-       components whose prefixes share most with its own;
+       components that share most of such first shingles of the prefixes with it;
     3. all pairs of the prefix filter that stand in different components by then.  As every pair of this
        similarity passes the filter, no link between groups is missed; rounds 1 and 2 cost a few pairs for
        each member of a crowd, and leave few to the last.
